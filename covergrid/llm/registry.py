@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergrid.llm import decontaminate, exact_dedup, simhash
+from covergrid.llm import decontaminate, exact_dedup, license_scan, simhash
 from covergrid.llm.util import table
 
 
@@ -15,6 +15,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -24,11 +28,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op6_simhash, op8_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_license_scan, op6_simhash, op8_exact_dedup)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _templates() -> str:
+    return ", ".join(f"({i}, '{label}', {base}, {words})" for i, label, base, words in license_scan.templates())
+
+
 SQL: dict[str, str] = {
     "op2_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
@@ -43,6 +53,26 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op4_license_scan": rf"""
+WITH t(template, label, base, w) AS (VALUES {_templates()}),
+grams AS (SELECT template, label, base, len(w) AS size, w, unnest(range(0, len(w) - 2)) AS t FROM t),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) > 2),
+votes AS (SELECT doc_id, template, label, base, size, t, p, p - t AS diagonal FROM (SELECT doc_id, p, list_slice(w, p + 1, p + 3) AS g FROM places) x
+          JOIN (SELECT *, list_slice(w, t + 1, t + 3) AS g FROM grams) y USING (g)),
+steps AS (SELECT doc_id, template, label, base, size, diagonal, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER k <= 3 THEN 0 ELSE 1 END AS fresh
+          FROM (SELECT DISTINCT doc_id, template, label, base, size, diagonal FROM votes) WINDOW k AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+clusters AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM steps),
+sums AS (SELECT doc_id, template, label, base, size, cluster, min(diagonal) AS start, count(DISTINCT c) AS covered, count(DISTINCT t) AS grams
+         FROM (SELECT v.*, cluster, unnest(range(t, t + 3)) AS c FROM votes v JOIN clusters USING (doc_id, template, label, base, size, diagonal))
+         GROUP BY ALL),
+spans AS (SELECT *, covered / size AS share FROM sums WHERE CASE WHEN base THEN grams = size - 2 ELSE covered / size >= 0.8 END),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+          FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found ON d.doc_id = found.doc_id""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
