@@ -39,7 +39,8 @@ def item_windows(items: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
 
 def _tokens(docs: DataFrame, unit: int) -> DataFrame:
     """Every position of every document with the hash of the ``unit`` words that start there."""
-    at = docs.select("doc_id", "rk", "words", F.posexplode("words").alias("pos", "word"))
+    # The outer form, as for the inner one Spark would split each text twice: once to see whether it has words.
+    at = docs.select("doc_id", "rk", "words", F.posexplode_outer("words").alias("pos", "word")).filter("word is not null")
     parts = [F.col("word")] + [F.get("words", F.col("pos") + i) for i in range(1, unit)]
     return at.select("doc_id", "rk", "words", "pos", F.xxhash64(*parts).alias("token"))
 

@@ -81,7 +81,8 @@ def _template_grams(spark: SparkSession) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, rk (a hash of the text), label, base, start (first word), share."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("rk"), alnum_words(F.col("text")).alias("words"))
-    at = keyed.select("doc_id", "rk", "words", F.posexplode("words").alias("p", "word"))
+    # The outer form, as for the inner one Spark would split each text twice: once to see whether it has words.
+    at = keyed.select("doc_id", "rk", "words", F.posexplode_outer("words").alias("p", "word")).filter("word is not null")
     following = [F.get("words", F.col("p") + i) for i in range(1, GRAM)]
     grams = at.select("doc_id", "rk", "p", F.array("word", *following).alias("here"), F.xxhash64("word", *following).alias("hash"))
     votes = grams.join(F.broadcast(_template_grams(docs.sparkSession)), "hash").filter(F.col("here") == F.col("gram"))

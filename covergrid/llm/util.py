@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts, as Java patterns. SPACE splits at ASCII white space; the other
-#: takes runs of ASCII letters, digits and everything beyond ASCII.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between the contracts' words, as Java patterns: all of ASCII but a-z and 0-9, or white
+#: space. Splitting at these is several times as fast as extracting the words by the complement.
+NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Most bytes that any operator here broadcasts; larger sides are taken block by block.
@@ -27,7 +27,7 @@ def ascii_lower(text: Column) -> Column:
 
 def alnum_words(text: Column) -> Column:
     """The lower-cased words of a text; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")
 
 
 def fold(doc_id: Column, k: int) -> Column:
