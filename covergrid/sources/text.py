@@ -49,9 +49,10 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 def sam_reads(spark: SparkSession, path: str) -> DataFrame:
     """The alignment lines of a SAM file as READS."""
-    body = lines(spark, path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    aligned = ~F.col("value").startswith("@") & (F.col("value") != "")
     order = F.monotonically_increasing_id().alias("ord")
-    f = body.select(F.split("value", "\t").alias("f"), order)
+    # Other lines are NULL to every later expression: Spark may evaluate casts before it filters.
+    f = lines(spark, path).filter(aligned).select(F.split(F.when(aligned, F.col("value")), "\t").alias("f"), order)
     i = lambda n: F.get("f", F.lit(n))
     text = f.select(
         i(0).alias("qname"), i(1).cast("int").alias("flag"), i(2).alias("ref"), (i(3).cast("bigint") - 1).alias("pos"), i(4).cast("int").alias("mapq"),
