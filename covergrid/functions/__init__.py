@@ -1 +1 @@
-
+"""Column expressions: CIGAR strings, bases, read filters."""

@@ -1 +1 @@
-
+"""Nothing here: results are batch tables, as in the commands that this engine reproduces; no event-time windows, watermarks or keyed state belong to them."""
