@@ -28,5 +28,5 @@ def may_overlap_mate(span: Column) -> Column:
     distance between the starts shorter than the read's span."""
     return (
         (F.col("flag").bitwiseAND(F.lit(1)) != 0) & (F.col("tid") == F.col("mate_tid"))
-        & ((F.floor(F.abs("tlen") / 2) < span) | (F.abs(F.col("mate_pos") - F.col("pos")) < span))
+        & ((F.shiftright(F.abs("tlen"), 1) < span) | (F.abs(F.col("mate_pos") - F.col("pos")) < span))
     )

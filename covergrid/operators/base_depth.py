@@ -14,8 +14,9 @@ from covergrid.operators import regions as R
 from covergrid.schema import COUNTS
 
 UNMAPPED = 4
-#: Reference bases per row of the lookup table.
-PIECE = 1 << 16
+#: Reference bases per row of the lookup table: a power of two.
+PIECE_BITS = 16
+PIECE = 1 << PIECE_BITS
 
 
 def aligned(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep, mate_aware: bool) -> DataFrame:
@@ -66,7 +67,7 @@ def _counts(min_base_quality: int | None) -> list[Column]:
 def reference_pieces(fasta: DataFrame) -> DataFrame:
     """(ref, seq) to (ref, piece, bases), PIECE bases a row."""
     n = F.length("seq")
-    pieces = fasta.filter(n > 0).select("ref", "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))).alias("piece"))
+    pieces = fasta.filter(n > 0).select("ref", "seq", F.explode(F.sequence(F.lit(0), F.shiftright(n - 1, PIECE_BITS))).alias("piece"))
     return pieces.select("ref", F.col("piece").cast("bigint").alias("piece"), F.expr(f"substring(seq, piece * {PIECE} + 1, {PIECE})").alias("bases"))
 
 
@@ -95,7 +96,7 @@ def base_depth(
     shift = 0 if zero_base else 1
     extra = []
     if fasta is not None:
-        counts = counts.withColumn("piece", F.floor(F.col("pos") / PIECE)).join(reference_pieces(fasta), ["ref", "piece"], "left")
+        counts = counts.withColumn("piece", F.shiftright("pos", PIECE_BITS)).join(reference_pieces(fasta), ["ref", "piece"], "left")
         letter = F.substring("bases", (F.col("pos") % PIECE + 1).cast("int"), F.lit(1))
         missing = F.raise_error(F.concat(F.lit("no reference base at "), "ref", F.lit(":"), F.col("pos").cast("string")))
         extra = [F.when(F.coalesce(F.length(letter), F.lit(0)) == 1, letter).otherwise(missing.cast("string")).alias("REF_BASE")]

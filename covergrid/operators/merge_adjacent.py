@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Positions whose rows one task compares at a time.
-BIN = 1 << 20
+#: Positions whose rows are compared in one window, as a power of two.
+BIN_BITS = 20
 
 # The names that each column may have in files.
 ALIASES = {"REF": ("chrom",), "POS": ("chromStart",), "END": ("chromEnd",), "DEPTH": ("COV",)}
@@ -31,7 +31,7 @@ def merge_adjacent(rows: DataFrame) -> DataFrame:
 
     Whether a row continues depends on the row before alone, so rows are compared inside bins of
     positions, the last row of each bin is handed to the next bin, and so are the counts of breaks."""
-    r = named(rows).withColumn("bin", F.floor(F.col("POS") / BIN))
+    r = named(rows).withColumn("bin", F.shiftright("POS", BIN_BITS))
     key = F.struct("POS", "END", "DEPTH")
     across = Window.partitionBy("REF").orderBy("bin")
     inside = Window.partitionBy("REF", "bin").orderBy("POS", "END", "DEPTH")

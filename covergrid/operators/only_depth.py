@@ -10,8 +10,8 @@ from covergrid.functions import cigar
 from covergrid.functions.filters import ReadFilter, may_overlap_mate
 from covergrid.operators import regions as R
 
-#: Positions that one task sweeps at a time.
-SWEEP = 1 << 16
+#: Positions swept at a time, as a power of two.
+SWEEP_BITS = 16
 
 
 def united_mates(spans: DataFrame) -> DataFrame:
@@ -40,26 +40,26 @@ def spans(reads: DataFrame, fast: bool = False, mate_fix: bool = False, keep=Rea
 
 
 def sweep(clipped: DataFrame, regions: DataFrame) -> DataFrame:
-    """(rid, ref, a, z, depth): maximal runs of equal depth that tile every region.
+    """(rid, tid, ref, a, z, depth): maximal runs of equal depth that tile every region.
 
     Depth is a running sum in two levels: sums by (region, bin) carry into a sum inside each bin, and
-    a bin's last run ends at the first event of the next bin that has one. No window spans a contig."""
-    at = clipped.select("rid", F.inline(F.array(F.struct(F.col("a").alias("p"), F.lit(1).alias("d")), F.struct(F.col("z").alias("p"), F.lit(-1).alias("d")))))
-    opening = regions.select("rid", F.col("start").alias("p"), F.lit(0).alias("d"))
-    events = at.union(opening).groupBy("rid", "p").agg(F.sum("d").alias("d"))
-    edges = regions.select("rid", "ref", "tid", "start", "stop")
-    events = events.join(edges, "rid").filter("p < stop and (d <> 0 or p = start)").withColumn("bin", F.floor(F.col("p") / SWEEP))
+    a bin's last run ends at the first event of the next bin that has one. Events carry their region's
+    columns along, so nothing is joined or windowed by region alone: no task holds a contig."""
+    place = ["rid", "tid", "ref", "stop"]
+    at = clipped.select(*place, F.inline(F.array(F.struct(F.col("a").alias("p"), F.lit(1).alias("d"), F.lit(False).alias("opens")), F.struct(F.col("z").alias("p"), F.lit(-1).alias("d"), F.lit(False).alias("opens")))))
+    opening = regions.select(*place, F.col("start").alias("p"), F.lit(0).alias("d"), F.lit(True).alias("opens"))
+    events = at.filter("p < stop").union(opening).groupBy(*place, "p").agg(F.sum("d").alias("d"), F.max("opens").alias("opens"))
+    events = events.filter("d <> 0 or opens").withColumn("bin", F.shiftright("p", SWEEP_BITS))
     by_bin = events.groupBy("rid", "bin").agg(F.sum("d").alias("total"), F.min("p").alias("first"))
-    w = Window.partitionBy("rid").orderBy("bin")
+    w = Window.partitionBy("rid").orderBy("bin")  # a row for each bin: few
     carried = by_bin.select(
         "rid", "bin", F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"), F.lead("first").over(w).alias("after")
     )
     inside = Window.partitionBy("rid", "bin").orderBy("p")
-    swept = events.join(carried, ["rid", "bin"]).select(
+    return events.join(carried, ["rid", "bin"]).select(
         "rid", "tid", "ref", F.col("p").alias("a"), F.coalesce(F.lead("p").over(inside), "after", "stop").alias("z"),
         (F.col("carry") + F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("depth"),
     )
-    return swept
 
 
 def only_depth(
@@ -77,7 +77,7 @@ def only_depth(
         if chunksize:
             places = R.chunked(places, chunksize)
         clipped = R.clip(counted, places, [])
-    runs = sweep(clipped.select("rid", "a", "z"), places)
+    runs = sweep(clipped, places)
     if no_merge:
         runs = runs if keep_zeros else runs.filter("depth <> 0")
         runs = runs.select("tid", "ref", "depth", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("a")).withColumn("z", F.col("a") + 1)

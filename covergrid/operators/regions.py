@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Positions per bin of the interval join.
-BIN = 1 << 14
+#: Positions per bin of the interval join, as a power of two.
+BIN_BITS = 14
+#: Most rows (of a name and a few numbers) that are broadcast.
+SMALL = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has no more than SMALL rows; else as it is."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
 def whole(contigs: DataFrame) -> DataFrame:
@@ -17,7 +24,7 @@ def whole(contigs: DataFrame) -> DataFrame:
 
 def chunked(regions: DataFrame, size: int) -> DataFrame:
     """Regions cut at multiples of ``size``; a region's pieces are numbered in its place."""
-    first = F.floor(F.col("start") / size) * size
+    first = F.col("start") - F.col("start") % size
     pieces = regions.select("rid", "tid", "ref", "start", "stop", F.explode(F.sequence(first, F.col("stop") - 1, F.lit(size).cast("bigint"))).alias("at"))
     cut = pieces.select("rid", "tid", "ref", F.greatest("start", "at").alias("start"), F.least("stop", F.col("at") + size).alias("stop"))
     return cut.withColumn("rid", F.xxhash64("rid", "start"))
@@ -58,10 +65,10 @@ def clip(spans: DataFrame, regions: DataFrame, keep: list[str]) -> DataFrame:
     """Interval join: (tid, start, stop, keep) with every region it overlaps, cut to that region.
     Both sides are dealt into bins and a pair is made in the bin of the later start only, so the join
     is an equi-join and makes each pair once."""
-    bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("stop") - 1) / BIN))).alias("bin")
+    bins = lambda: F.explode(F.sequence(F.shiftright("start", BIN_BITS), F.shiftright(F.col("stop") - 1, BIN_BITS))).alias("bin")
     s = spans.filter("start < stop").select("tid", F.col("start").alias("a"), F.col("stop").alias("z"), *keep, bins())
     r = regions.select("tid", "rid", "ref", "start", "stop", bins())
-    joined = s.join(r, ["tid", "bin"]).filter((F.col("a") < F.col("stop")) & (F.col("start") < F.col("z")) & (F.floor(F.greatest("a", "start") / BIN) == F.col("bin")))
+    joined = s.join(r, ["tid", "bin"]).filter((F.col("a") < F.col("stop")) & (F.col("start") < F.col("z")) & (F.shiftright(F.greatest("a", "start"), BIN_BITS) == F.col("bin")))
     return joined.select("rid", "tid", "ref", "start", "stop", F.greatest("a", "start").alias("a"), F.least("z", "stop").alias("z"), *keep)
 
 
@@ -69,5 +76,5 @@ def clip_to_contigs(spans: DataFrame, contigs: DataFrame, keep: list[str]) -> Da
     """The same for one region a contig: an equi-join with the header's rows."""
     r = whole(contigs)
     s = spans.select("tid", F.col("start").alias("a"), F.col("stop").alias("z"), *keep)
-    cut = s.join(F.broadcast(r), "tid").select("rid", "tid", "ref", "start", "stop", F.greatest("a", "start").alias("a"), F.least("z", "stop").alias("z"), *keep)
+    cut = s.join(small(r), "tid").select("rid", "tid", "ref", "start", "stop", F.greatest("a", "start").alias("a"), F.least("z", "stop").alias("z"), *keep)
     return cut.filter("a < z")

@@ -12,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covergrid.operators.regions import small
+
 # Fixed values of the block-gzip format: block size and the empty block that ends a file.
 BLOCK = 0xFF00
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -22,7 +24,7 @@ def ordered(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     names = {"REF": "POS", "chrom": "chromStart"}
     ref = next(c for c in names if c in rows.columns)
     tids = contigs.select(F.col("tid").alias("__tid"), F.col("ref").alias("__ref"))
-    joined = rows.join(F.broadcast(tids), F.col(ref) == F.col("__ref"), "left")
+    joined = rows.join(small(tids), F.col(ref) == F.col("__ref"), "left")
     return joined.orderBy("__tid", names[ref]).select(*rows.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergrid.functions import cigar
+from covergrid.operators.regions import small
 
 GZIPPED = (".gz", ".gzip", ".bgzf")
 
@@ -61,8 +62,9 @@ def sam_reads(spark: SparkSession, path: str) -> DataFrame:
     )
     none = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda _: F.lit(255))
     phred = F.transform(F.filter(F.split("q", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
-    contigs = F.broadcast(sam_contigs(spark, path).select("tid", "ref"))
-    mates = F.broadcast(sam_contigs(spark, path).select(F.col("tid").alias("mate_tid"), F.col("ref").alias("mate_ref")))
+    header = sam_contigs(spark, path)
+    contigs = small(header.select("tid", "ref"))
+    mates = small(header.select(F.col("tid").alias("mate_tid"), F.col("ref").alias("mate_ref")))
     joined = text.join(contigs, "ref", "left").join(mates, "mate_ref", "left")
     return joined.select(
         "qname", "flag", F.coalesce("tid", F.lit(-1)).alias("tid"), "ref", "pos", "mapq", "cigar", F.coalesce("mate_tid", F.lit(-1)).alias("mate_tid"), "mate_pos", "tlen", "seq",
