@@ -74,34 +74,48 @@ def _first_of(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _meet_anchors(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """One row to send for each anchor (its smallest id), and the other ids, known to share it."""
-    h = np.concatenate([a for _, a in found])
-    doc = np.concatenate([np.full(a.size, d, np.int64) for d, a in found])
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    keep = _first_of([h, doc])
-    h, doc = h[keep], doc[keep]
+def _spread(ids: np.ndarray) -> pa.Array:
+    """Keys for rows that are answered already, so that they don't crowd one partition."""
+    return pa.array((ids.view(np.uint64) * _A).view(np.int64))
+
+
+def _meet_anchors(found: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """found: id, text hash, anchors. Rows to send: one for each anchor, with its smallest id; known to
+    be shared: one row a document, with its anchors as bytes."""
+    h = np.concatenate([f[2] for f in found])
+    of = np.repeat(np.arange(len(found)), [f[2].size for f in found])
+    ids, rks = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+    order = np.lexsort((of, ids[of], h))
+    h, of = h[order], of[order]
     first = _first_of([h])
     size = np.diff(np.append(np.flatnonzero(first), h.size))
-    shared = np.repeat(size > 1, size)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(first), pa.array(shared)], ["h", "doc", "ask", "shared"])
+    crowd = np.repeat(size > 1, size)
+    at = of[first]
+    names = ["k", "doc", "rk", "shared", "known"]
+    yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[at]), pa.array(rks[at]), pa.array(crowd[first]), pa.nulls(at.size, pa.binary())], names)
+    rest, ro = h[~first], of[~first]
+    order = np.argsort(ro, kind="stable")
+    rest, ro = rest[order], ro[order]
+    at = np.flatnonzero(_first_of([ro])) if ro.size else np.zeros(0, np.int64)
+    ends = np.append(at, ro.size)[1:]
+    blobs = [rest[i:e].tobytes() for i, e in zip(at, ends, strict=True)]
+    yield pa.RecordBatch.from_arrays([_spread(ids[ro[at]]), pa.array(ids[ro[at]]), pa.array(rks[ro[at]]), pa.array(np.ones(at.size, bool)), pa.array(blobs, pa.binary())], names)
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found, n = [], 0
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for doc, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             words = (text.as_py() or b"").split()
             if len(words) >= WINDOW:
                 a = np.unique(anchors(word_hashes(words)))
-                found.append((doc, a))
+                found.append((doc, rk, a))
                 n += a.size
             if n >= AT_ONCE:
-                yield _meet_anchors(found)
+                yield from _meet_anchors(found)
                 found, n = [], 0
     if found:
-        yield _meet_anchors(found)
+        yield from _meet_anchors(found)
 
 
 def _meet_windows(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +133,7 @@ def _meet_windows(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray
     w, c, asked_pos, asked_of = w[asks], c[asks], pos[asks], of[asks]
     lead = _first_of([w, c, asked_of])
     at = np.flatnonzero(lead)
-    ends = np.append(at[1:], w.size)
+    ends = np.append(at, w.size)[1:]
     more: list[bytes | None] = [None] * at.size
     for i in np.flatnonzero(ends - at > 1):
         more[i] = asked_pos[at[i] + 1 : ends[i]].astype("<i4").tobytes()
@@ -130,10 +144,10 @@ def _meet_windows(found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray
     order = np.lexsort((pos[known], of[known]))
     kp, ko = pos[known][order], of[known][order]
     at = np.flatnonzero(_first_of([ko])) if ko.size else np.zeros(0, np.int64)
-    ends = np.append(at[1:], ko.size)
+    ends = np.append(at, ko.size)[1:]
     blobs = [kp[a + 1 : e].astype("<i4").tobytes() for a, e in zip(at, ends, strict=True)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(at.size, np.int64)), pa.array(np.zeros(at.size, np.int32)), pa.array(ids[ko[at]]), pa.array(rks[ko[at]]), pa.array(kp[at].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(np.ones(at.size, bool))], names
+        [_spread(ids[ko[at]]), pa.array(np.zeros(at.size, np.int32)), pa.array(ids[ko[at]]), pa.array(rks[ko[at]]), pa.array(kp[at].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(np.ones(at.size, bool))], names
     )
 
 
@@ -141,12 +155,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack, found, n = zstandard.ZstdDecompressor(), [], 0
     for b in batches:
         for i in range(b.num_rows):
-            doc, rk, z, shared = (b.column(k)[i] for k in range(4))
+            doc, rk, z, shared, known = (b.column(k)[i] for k in range(5))
             words = unpack.decompress(z.as_py()).split()
             if len(words) < WINDOW:
                 continue
             x = word_hashes(words)
-            at = np.flatnonzero(np.isin(anchors(x), shared.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            wanted = np.concatenate([shared.values.to_numpy(zero_copy_only=False).view(np.uint64), *(np.frombuffer(k, np.uint64) for k in known.as_py())])
+            at = np.flatnonzero(np.isin(anchors(x), wanted))
             if at.size:
                 w = rolling(x, WINDOW, _A)[at]
                 c = (rolling(x >> np.uint64(7), WINDOW, _B)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -201,21 +216,26 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, UTF-8, single spaces) and spans (the maximal
     repeats cut, by their first and last word) for every row of docs (doc_id, text)."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("rk"), F.col("text").cast("binary").alias("text"))
-    seeds = text.select("doc", "text").mapInArrow(_seeds, "h long, doc long, ask boolean, shared boolean")
-    among = Window.partitionBy("h")
-    answered = seeds.filter("ask").withColumn("shared", F.col("shared") | (F.count(F.lit(1)).over(among) > 1)).filter("shared")
-    shared = seeds.filter("not ask").select("h", "doc").union(answered.select("h", "doc")).groupBy("doc").agg(F.collect_list("h").alias("shared"))
-    packed = text.mapInArrow(_compressed, "doc long, rk long, z binary")
-    windows = packed.join(shared, "doc").select("doc", "rk", "z", "shared").mapInArrow(_windows, "w long, c int, doc long, rk long, pos int, more binary, known boolean")
-    return _finish(text, packed, windows)
-
-
-def _finish(text: DataFrame, packed: DataFrame, windows: DataFrame) -> DataFrame:
-    same = Window.partitionBy("w", "c")
-    asked = windows.filter("not known").withColumn("least", F.min("doc").over(same)).filter("least < doc")
-    repeats = windows.filter("known").select("doc", "rk", "pos", "more").union(asked.select("doc", "rk", "pos", "more"))
-    repeats = repeats.groupBy("doc", "rk").agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
-    joined = packed.join(repeats, ["doc", "rk"], "left").select("doc", "z", "pos", "more")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    repeated = not docs.select(doc.alias("doc")).groupBy("doc").count().filter("count > 1").isEmpty()
+    # The text's hash is carried along only where ids don't tell documents apart.
+    key = ["doc", "rk"] if repeated else ["doc"]
+    rk = F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated else F.lit(0).cast("long")
+    text = docs.select(doc.alias("doc"), rk.alias("rk"), F.col("text").cast("binary").alias("text"))
+
+    seeds = text.mapInArrow(_seeds, "k long, doc long, rk long, shared boolean, known binary").select("k", *key, "shared", "known")
+    asks = F.col("known").isNull()
+    met = seeds.withColumn("met", F.count_if(asks).over(Window.partitionBy("k"))).filter(~asks | F.col("shared") | (F.col("met") > 1))
+    shared = met.groupBy(*key).agg(F.collect_list(F.when(asks, F.col("k"))).alias("shared"), F.collect_list("known").alias("known"))
+
+    packed = text.mapInArrow(_compressed, "doc long, rk long, z binary").select(*key, "z")
+    rk = F.col("rk") if repeated else F.lit(0).cast("long")
+    windows = packed.join(shared, key).select("doc", rk.alias("rk"), "z", "shared", "known").mapInArrow(_windows, "w long, c int, doc long, rk long, pos int, more binary, known boolean")
+    windows = windows.select("w", "c", *key, "pos", "more", "known")
+    least = F.min(F.when(~F.col("known"), F.col("doc"))).over(Window.partitionBy("w", "c"))
+    repeats = windows.withColumn("least", least).filter("known or least < doc")
+    repeats = repeats.groupBy(*key).agg(F.collect_list("pos").alias("pos"), F.collect_list("more").alias("more"))
+
+    joined = packed.join(repeats, key, "left").select("doc", "z", "pos", "more")
     done = joined.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept binary, spans array<struct<first:long,last:long>>")
     return done.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", "spans")
