@@ -47,12 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/covergrid/{spark.sparkContext.applicationId}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder deleted when the application ends: until then results may still read it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and lost executors
     cost no more than the tasks that ran on them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

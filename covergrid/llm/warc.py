@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergrid.llm.util import shared_dir
+from covergrid.llm.util import shared_dir, until_exit
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 32 << 20
@@ -203,6 +203,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     written = joined.select("page_id", "url", "html", "length", "sha1", refers.alias("refers_to")).mapInArrow(_write(folder), "path string, size long")
     listing = f"{folder}/archives"
     written.write.parquet(listing)  # the tasks that finished, and what they wrote
+    until_exit(pages.sparkSession, folder)
     return pages.sparkSession.read.parquet(listing)
 
 
