@@ -41,7 +41,11 @@ def steps(cigar: Column) -> Column:
             (x["op"].isin(MATCHES) & F.coalesce(F.get(cigar, i + 1)["op"] == "I", F.lit(False))).alias("ins"),
         )
 
-    return F.filter(F.transform(cigar, step), lambda s: s["op"].isin(ON_REFERENCE) & (s["len"] > 0))
+    zero, only = F.lit(0).cast("bigint"), F.get(cigar, F.lit(0))
+    whole = F.array(F.struct(only["op"].alias("op"), only["len"].alias("len"), zero.alias("r"), zero.alias("q"), F.lit(False).alias("ins")))
+    general = F.filter(F.transform(cigar, step), lambda s: s["op"].isin(ON_REFERENCE) & (s["len"] > 0))
+    # Most reads are one match from end to end: they pass without the lambdas, which are interpreted.
+    return F.when((F.size(cigar) == 1) & only["op"].isin(ON_REFERENCE) & (only["len"] > 0), whole).otherwise(general)
 
 
 def with_blocks(reads: DataFrame, *keep: str) -> DataFrame:
