@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,8 +74,11 @@ def templates() -> list[tuple[int, str, bool, list[str]]]:
 
 
 def _template_grams(spark: SparkSession) -> DataFrame:
-    rows = [(i, label, base, len(w), t, w[t : t + GRAM]) for i, label, base, w in templates() for t in range(len(w) - GRAM + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, size int, t int, gram array<string>")
+    rows = [
+        {"template": i, "label": label, "base": base, "size": len(w), "t": t, "gram": w[t : t + GRAM]}
+        for i, label, base, w in templates() for t in range(len(w) - GRAM + 1)
+    ]
+    made = spark.createDataFrame(pa.Table.from_pylist(rows))  # from Arrow: no Python on the executors
     return made.withColumn("hash", F.xxhash64(*(F.get("gram", F.lit(i)) for i in range(GRAM))))
 
 
