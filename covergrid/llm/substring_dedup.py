@@ -228,7 +228,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     met = seeds.withColumn("met", F.count_if(asks).over(Window.partitionBy("k"))).filter(~asks | F.col("shared") | (F.col("met") > 1))
     shared = met.groupBy(*key).agg(F.collect_list(F.when(asks, F.col("k"))).alias("shared"), F.collect_list("known").alias("known"))
 
-    packed = text.mapInArrow(_compressed, "doc long, rk long, z binary").select(*key, "z")
+    # No key is null; said here, both joins below read one and the same shuffle of the texts.
+    packed = text.mapInArrow(_compressed, "doc long, rk long, z binary").select(*key, "z").filter(" and ".join(f"{k} is not null" for k in key))
     rk = F.col("rk") if repeated else F.lit(0).cast("long")
     windows = packed.join(shared, key).select("doc", rk.alias("rk"), "z", "shared", "known").mapInArrow(_windows, "w long, c int, doc long, rk long, pos int, more binary, known boolean")
     windows = windows.select("w", "c", *key, "pos", "more", "known")
