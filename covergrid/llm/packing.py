@@ -13,7 +13,7 @@ that no length, however common, is ranked in one task. The plan's rows name inte
 crc32 of a piece that the plan cuts later comes from running crcs at every GRAIN ids, which the
 tokenizing pass leaves behind: texts are read and tokenized once.
 
-Tokenizing: a text falls into units at single spaces between non-spaces, where the tokenizer's own
+Tokenizing: a text is cut at the vocabulary's added tokens, and between them falls into units at single spaces between non-spaces, where the tokenizer's own
 pattern always splits, and units' ids are remembered (at most REMEMBERED of them).
 
 Defined results: a null text is empty, and an empty text is the one id END; rows that repeat an id or
@@ -23,6 +23,7 @@ a text are packed each; an empty table gives no rows; all columns but doc_id and
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict, deque
@@ -46,17 +47,29 @@ REMEMBERED, REMEMBERED_CHARS = 250_000, 40
 #: The same vocabulary as byte_bpe_50k.json, as ranks.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The tokens that byte_bpe_50k.json matches in the raw text, before it is split into units."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError("added tokens that take in more than their own text")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 _TWO_SPACES, _SPLIT = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)")
 
 
 class Tokenizer:
-    """Texts to ids as little-endian unsigned 32-bit integers."""
+    """Texts to ids as little-endian unsigned 32-bit integers; added tokens are recognised wherever they stand."""
 
-    def __init__(self, ranks: str = RANKS):
+    def __init__(self, ranks: str = RANKS, added: dict[str, int] | None = None):
         with open(ranks, "rb") as f:
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def _unit(self, unit: str) -> bytes:
         ids = np.array(self.encoding.encode_ordinary(unit), "<u4").tobytes()
@@ -67,6 +80,11 @@ class Tokenizer:
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        return b"".join(self.added[p] if i % 2 else self._plain(p) for i, p in enumerate(self.cut.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         parts = _SPLIT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
         known, out = self.known, []
         for i, p in enumerate(parts):
@@ -92,8 +110,10 @@ def pieces_of(ids: bytes) -> Iterator[tuple[int, int, int, list[int] | None]]:
 def pieces(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, start, length, crc, doc_tokens, running: each document cut at multiples of WINDOW."""
 
+    added = added_tokens()
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = Tokenizer(ranks), np.array([END], "<u4").tobytes()
+        tokenizer, end = Tokenizer(ranks, added), np.array([END], "<u4").tobytes()
         for b in rows:
             at, cols = [], ([], [], [], [], [])
             for i, text in enumerate(b.column(1)):
