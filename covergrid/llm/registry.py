@@ -62,7 +62,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 
 def _templates() -> str:
-    return ", ".join(f"({i}, '{label}', {base}, {words})" for i, label, base, words in license_scan.templates())
+    return ", ".join(f"('{label}', {base}, {words})" for _, label, base, words, _ in license_scan.templates())
 
 
 SQL: dict[str, str] = {
@@ -89,26 +89,18 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JO
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id""",
+    # Whole templates, word for word: no grams, votes or tolerance. It gives the same rows where notices are unchanged.
     "op4_license_scan": rf"""
-WITH t(template, label, base, w) AS (VALUES {_templates()}),
-grams AS (SELECT template, label, base, len(w) AS size, w, unnest(range(0, len(w) - 2)) AS t FROM t),
+WITH t(label, base, w) AS (VALUES {_templates()}),
 d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) > 2),
-votes AS (SELECT doc_id, template, label, base, size, t, p, p - t AS diagonal FROM (SELECT doc_id, p, list_slice(w, p + 1, p + 3) AS g FROM places) x
-          JOIN (SELECT *, list_slice(w, t + 1, t + 3) AS g FROM grams) y USING (g)),
-steps AS (SELECT doc_id, template, label, base, size, diagonal, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER k <= 3 THEN 0 ELSE 1 END AS fresh
-          FROM (SELECT DISTINCT doc_id, template, label, base, size, diagonal FROM votes) WINDOW k AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-clusters AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM steps),
-sums AS (SELECT doc_id, template, label, base, size, cluster, min(diagonal) AS start, count(DISTINCT c) AS covered, count(DISTINCT t) AS grams
-         FROM (SELECT v.*, cluster, unnest(range(t, t + 3)) AS c FROM votes v JOIN clusters USING (doc_id, template, label, base, size, diagonal))
-         GROUP BY ALL),
-spans AS (SELECT *, covered / size AS share FROM sums WHERE CASE WHEN base THEN grams = size - 2 ELSE covered / size >= 0.8 END),
-found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
-          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-          FROM spans GROUP BY doc_id)
+found AS (SELECT doc_id, label, base, p FROM places x JOIN t ON list_slice(x.w, p + 1, p + 3) = list_slice(t.w, 1, 3) WHERE list_slice(x.w, p + 1, p + len(t.w)) = t.w),
+sums AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
-       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN found ON d.doc_id = found.doc_id""",
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN labels IS NULL THEN 0.0 ELSE 1.0 END :: DOUBLE AS score
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id""",
     "op5_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT page_id, octet_length(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS holder FROM p)
