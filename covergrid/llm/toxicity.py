@@ -1,25 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words side by side, each a few states over word classes:
-
-* insult     emits a stem's weight where a word starts with that stem;
-* threat     verb -> (a word or two) -> target emits a weight on the last step;
-* target     doubles as a state of the clause: an insult or threat in a clause that addresses or names
-             somebody counts TARGET times as much;
-* negation   opens a scope of NEGATION_SCOPE words in which weights are scaled by NEGATED;
-* reported   once the clause has a verb of saying or a quotation mark, weights are scaled by REPORTED.
-
-Their composition is run as one machine whose state is (negation scope left, reported, target, threat
-pending). A clause's weight is what its matches emit; a document scores 1 - exp(-sum of clauses) on
-top of a small base, so it takes a matched clause, not a stray letter sequence, to raise a score.
-
-The stems of the insult transducer are the fixed ones below and those learned from labelled rows of
-the training folds: word beginnings that at least SUPPORT of the sampled toxic texts have and that
-have RATIO times as often as the clean ones, weighted by log-odds. The sample's bound is SAMPLE rows a class.
-Its counts are taken on the executors; the driver sees only the stems that pass.
+A clause's words become symbols: insults, verbs of violence and their participles, targets, negations,
+verbs of saying, quotation marks, copulas, modals, futures, small words. The five transducers of
+``grammar`` (reported speech, negation, target, threat, insult), composed into one machine, read them and
+put out hits with marks. A hit weighs what its insult weighs, or THREAT_WEIGHT, times the factors of its
+marks: an insult that is said of nobody in its clause weighs BARE of one that is, so that one such word
+doesn't make a text toxic but several do; negated and reported hits weigh next to nothing. A document
+scores 1 - exp(-sum over its clauses), on top of a small base.
+
+The insults are the fixed ones below and stems learned from labelled rows of the training folds: word
+beginnings that at least SUPPORT of the sampled toxic texts have and that have RATIO times as often
+as the clean ones, weighted by log-odds. The sample's bound is SAMPLE rows a class; equal texts of one
+class count once. Its counts are taken on the executors; the driver sees only the stems that pass.
 
 Defined results: null, empty and blank texts have no clause and score BASE; labels, lang, source and
-doc_id are never read when scoring; without usable labels the fixed stems alone remain.
+doc_id are never read when scoring; without usable labels the fixed insults alone remain; rows that repeat
+an id or a text are scored each; a text is read clause by clause, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,39 +28,55 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covergrid.llm import grammar as G
 from covergrid.llm.sampling import labelled, lowest, with_text
 from covergrid.llm.util import fold, staged
 
 SAMPLE = {0: 8000, 1: 4000}
-SUPPORT, RATIO, ODDS = 0.04, 20, 0.5
+SUPPORT, RATIO, ODDS = 0.01, 40, 0.5
 STEM_LETTERS = range(3, 13)
-BASE, FIXED_WEIGHT, MOST_WEIGHT, LEAST_TEXTS = 0.02, 1.5, 3.0, 3
-TARGET, NEGATED, REPORTED, NEGATION_SCOPE, THREAT_WEIGHT, THREAT_REACH = 1.5, 0.35, 0.5, 3, 1.5, 2
+BASE, MOST_WEIGHT, LEAST_TEXTS = 0.02, 3.0, 4
+THREAT_WEIGHT = 3.0
+#: Factors of a hit's marks; a bare insult is one that is said of nobody.
+BARE, NEGATED, REPORTED = 0.1, 0.05, 0.05
 CUT = 0.3
 
-# Words of the grammar's classes, in four languages.
+# The words of the grammar's classes, in four languages.
 INSULTS = "idiot moron imbecile stupid worthless pathetic disgusting scumbag loser clown dummkopf arschloch abschaum connard salaud gilipollas".split()
-THREATS = "kill hurt murder stab destroy umbringen töten verletzen tuer blesser matar herir".split()
-TARGETS = "you your yours yourself u he she they him her them dich dir euch tu toi vous te ti usted ustedes".split()
-NEGATIONS = "not never no isn't aren't wasn't don't didn't nicht nie kein keine ne pas jamais nunca".split()
-REPORTS = "said says quoted wrote reported claimed called sagte schrieb nannte disait dijo escribió".split()
+VERBS = "kill hurt murder stab destroy strangle umbringen töten verletzen tuer blesser étrangler matar matarte herir herirte".split()
+PARTICIPLES = "killed hurt murdered stabbed destroyed strangled umgebracht getötet verletzt tué tuée tués blessé blessée matado herido".split()
+TARGETS = "you your yours yourself he she they him her them du dich dir ihr euch sie er tu toi vous te il elle eux ti usted ustedes él ella ellos".split()
+NEGATIONS = "not never no cannot isn't aren't wasn't weren't don't didn't won't nicht nie niemals kein keine pas jamais nunca tampoco".split()
+REPORTS = "said says saying quoted wrote reported claimed called sagte schrieb nannte disait écrivait dijo escribió".split()
+COPULAS = "are is was were be been am you're he's she's they're bist ist seid sind war es êtes est sont était eres son sois".split()
+MODALS = "will shall should must ought going gonna soon wirst wird werdet werden sollst".split()
+FUTURES = "werde werden vais allons voy vamos".split()
+SMALL = "a an the such so very really quite just all total complete utter ein eine einen total une un le la el los las tan muy".split()
+_KINDS = ((SMALL, G.SMALL), (MODALS, G.MODAL), (FUTURES, G.FUTURE), (COPULAS, G.COPULA), (REPORTS, G.REPORT), (NEGATIONS, G.NEGATION), (TARGETS, G.TARGET), (PARTICIPLES, G.PARTICIPLE), (VERBS, G.VERB))
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]|[,:()]")
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 
 
+def factor(marks: int) -> float:
+    """What a hit of weight one counts."""
+    out = 1.0 if marks & (G.DIRECTED | G.THREAT) else BARE
+    return out * (NEGATED if marks & G.NEGATED else 1) * (REPORTED if marks & G.REPORTED else 1)
+
+
 class Grammar:
-    """The composed machine for one set of insult stems (stem -> weight; a stem that ends in a space is a whole word)."""
+    """The composed machine with one set of insults (stem -> weight; a stem that ends in a space is a whole word)."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems, self.lengths = stems, sorted({len(s) for s in stems}, reverse=True)
-        self.threats, self.targets, self.negations, self.reports = map(frozenset, (THREATS, TARGETS, NEGATIONS, REPORTS))
+        self.kinds = {w: kind for words, kind in _KINDS for w in words} | {",": G.BREAK, ":": G.BREAK, "(": G.BREAK, ")": G.BREAK} | dict.fromkeys('"“”«»', G.QUOTE)
+        self.machine = G.Machine()
         self.seeds = ahocorasick.Automaton()
-        for s in {*(x.strip() for x in stems), *THREATS}:
+        for s in {*(x.strip() for x in stems), *VERBS, *PARTICIPLES}:
             self.seeds.add_word(s, len(s))
         self.seeds.make_automaton()
 
@@ -74,25 +86,13 @@ class Grammar:
         return next((w for n in self.lengths if (w := self.stems.get(word[:n])) is not None), 0.0)
 
     def clause(self, text: str) -> float:
-        scope, pending, target = 0, 0, False
-        reported = '"' in text or "“" in text or "«" in text
-        emitted = 0.0
-        for m in _WORD.finditer(text):
-            word = m.group()
+        """What the hits of a lower-cased clause weigh."""
+        kinds, weights = [], []
+        for word in _TOKEN.findall(text):
             weight = self.insult(word)
-            if word in self.targets:
-                target = True
-                if pending:
-                    weight += THREAT_WEIGHT
-            pending = THREAT_REACH if word in self.threats else max(0, pending - 1)
-            if word in self.negations:
-                scope = NEGATION_SCOPE + 1
-            if word in self.reports:
-                reported = True
-            if weight:
-                emitted += weight * (NEGATED if scope else 1)
-            scope = max(0, scope - 1)
-        return emitted * (TARGET if target else 1) * (REPORTED if reported else 1)
+            kinds.append(G.INSULT if weight else self.kinds.get(word, G.OTHER))
+            weights.append(weight)
+        return sum((THREAT_WEIGHT if marks & G.THREAT else weights[i]) * factor(marks) for i, marks in self.machine.hits(kinds))
 
     def score(self, text: str) -> float:
         low = text.lower()
@@ -119,16 +119,6 @@ def _beginnings(text: str) -> set[str]:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest hash of a text's word pairs: near copies mostly share it."""
-    for b in batches:
-        keys = []
-        for text in b.column(0):
-            words = (text.as_py() or b"").lower().split()
-            keys.append(min(map(xxhash.xxh64_intdigest, map(b" ".join, zip(words, words[1:], strict=False))), default=0))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], ["text", "y", "sketch"])
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = (Counter(), Counter())
     for b in batches:
@@ -142,11 +132,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     """stem -> weight"""
-    stems = {s: FIXED_WEIGHT for s in INSULTS}
+    stems = {s: MOST_WEIGHT for s in INSULTS}
     marked = labelled(labels, "toxic", fold(F.col("doc_id"), 4) != 2)
     picked = lowest(marked.filter("y = 1"), SAMPLE[1], "toxic").union(lowest(marked.filter("y = 0"), SAMPLE[0], "clean"))
-    sample = with_text(docs, picked).select("text", F.col("y").cast("int")).mapInArrow(_sketched, "text binary, y int, sketch long")
-    sample = staged(sample.dropDuplicates(["sketch"]).select("text", "y"), "toxicity")  # copies of one text are one witness
+    sample = staged(with_text(docs, picked).select("text", F.col("y").cast("int")).distinct(), "toxicity")  # equal texts are one witness
     total = dict(sample.groupBy("y").count().collect())
     if not total.get(1) or not total.get(0):
         return stems
