@@ -7,15 +7,21 @@ looked at), weighed by an estimated class prior. With logistic loss l,
     risk = prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior * E_pos[l(-)])
 
 is minimised by full-batch Adam; while the second part is below zero its gradient is followed
-backwards, as the paper has it. The prior is the share of 1 among labelled training rows. Scores are
-then calibrated (Platt) on labelled rows of the training folds, so that 0.3 is a meaningful cut.
+backwards, as the paper has it. Rows labelled 0 take no part.
+
+The prior is estimated from the same two samples, half of which a first classifier (positives against
+unlabelled) is fitted on. In the other half, whatever set of texts A is taken, the unlabelled ones
+hold at least prior * share of A among the positives, so the prior is at most share(A, unlabelled) /
+share(A, positives); the estimate is the least such bound over the sets "scored above t", each
+share given its sampling error (Garg et al. 2021). Scores are calibrated, slope and shift, on that
+other half too, against prior * density of positives / density of unlabelled, so that 0.3 is a meaningful cut.
 
 Features come from the text alone: a profile of its bytes and words (case, digits, marks, word and
 line lengths, repetition) and hashed byte trigrams. The fit takes bounded samples: SAMPLE rows of each kind.
 
 Defined results: null, empty and blank texts have the all-zero profile and get the model's score for
-it; labels, lang, source and doc_id are never read when scoring; with no positives or nothing
-unlabelled the score is the prior (0.5 without labels).
+it; labels, lang, source and doc_id are never read when scoring; with fewer than LEAST positives or unlabelled
+rows the score is 0.5; rows that repeat an id or a text are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +36,12 @@ from pyspark.sql import functions as F
 from covergrid.llm.sampling import labelled, lowest, with_text
 from covergrid.llm.util import fold
 
-#: Most positives, unlabelled rows and calibration rows (of each class) in the fit.
-SAMPLE = 4000
+#: Most positives and most unlabelled rows in the fit, and least.
+SAMPLE, LEAST = 5000, 4
+#: Texts that a bound on the prior must rest on, as a share of the positives; failure probability of its margin.
+TAIL, DELTA = 0.05, 0.1
 BUCKETS = 512
-ROUNDS, RATE, DECAY = 600, 0.05, 1e-4
+ROUNDS, RATE, DECAY = 500, 0.05, 1e-4
 CUT = 0.3
 #: Bytes whose trigrams are hashed at a time: bounds the memory that one long text takes.
 STRIDE = 1 << 20
@@ -92,62 +100,104 @@ class Model:
         return _sigmoid(self.slope * self.margin(x) + self.shift)
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float, held: tuple[np.ndarray, np.ndarray]) -> Model:
-    """held: features and marks (0, 1) of the calibration rows."""
+def risk(margin_pos: np.ndarray, margin_unl: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk, and the gradient to follow for each positive's and each unlabelled row's margin."""
+    sp, su = _sigmoid(margin_pos), _sigmoid(margin_unl)
+    positive = prior * np.logaddexp(0, -margin_pos).mean()
+    negative = np.logaddexp(0, margin_unl).mean() - prior * np.logaddexp(0, margin_pos).mean()
+    if negative >= 0:
+        return positive, negative, prior * (sp - 1 - sp) / sp.size, su / su.size
+    return positive, negative, prior * sp / sp.size, -su / su.size
+
+
+def descend(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = ROUNDS, decay: float = DECAY, start: np.ndarray | None = None, rate: float = RATE) -> np.ndarray:
+    """Weights and bias (last) that minimise the risk of rows p and u."""
+    w = np.zeros(p.shape[1] + 1) if start is None else start.astype(float)
+    m, v = np.zeros(w.size), np.zeros(w.size)
+    for step in range(1, rounds + 1):
+        _, _, gp, gu = risk(p @ w[:-1] + w[-1], u @ w[:-1] + w[-1], prior)
+        g = np.append(p.T @ gp + u.T @ gu + decay * w[:-1], gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives among unl from scores of both (of rows that the scorer hasn't seen)."""
+    at = np.unique(pos)
+    q_pos = 1 - np.searchsorted(np.sort(pos), at) / pos.size
+    q_unl = 1 - np.searchsorted(np.sort(unl), at) / unl.size
+    margin = np.sqrt(np.log(4 / DELTA) / 2) * (1 / np.sqrt(pos.size) + 1 / np.sqrt(unl.size))
+    wide = q_pos >= TAIL
+    best = np.argmin(((q_unl + margin) / q_pos)[wide])  # where the bound with its margin is least
+    return float(np.clip((q_unl / q_pos)[wide][best], 1 / unl.size, 1 - 1e-3))
+
+
+def _rising(y: np.ndarray) -> np.ndarray:
+    """The closest sequence that never falls (pooled neighbours)."""
+    pools: list[list[float]] = []
+    for v in y:
+        pools.append([v, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (a, n), (b, m) = pools[-2:]
+            pools[-2:] = [[(a * n + b * m) / (n + m), n + m]]
+    return np.repeat([v for v, _ in pools], [n for _, n in pools])
+
+
+def calibrate(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift from margins of rows that the model hasn't seen. Among unlabelled rows of like margin the
+    share of positives is prior * density of positives / density of unlabelled; a logistic curve is fitted to that."""
+    z = np.sort(unl)
+    bins = np.array_split(z, max(1, z.size // 25))
+    edges = np.array([(a[-1] + b[0]) / 2 for a, b in zip(bins, bins[1:], strict=False)])
+    here = np.bincount(np.searchsorted(edges, pos, side="right"), minlength=len(bins))
+    share = prior * (here / pos.size) / (np.array([b.size for b in bins]) / z.size)
+    target = np.repeat(_rising(share), [b.size for b in bins]).clip(1e-3, 1 - 1e-3)
+    spread = z.std() + 1e-9
+    x, w = np.stack([z / spread, np.ones(z.size)], 1), np.array([1.0, 0.0])
+    for _ in range(100):  # Newton's method, with a little weight on where it starts
+        y = _sigmoid(x @ w)
+        grad = x.T @ (y - target) + 1e-2 * (w - [1, 0])
+        w = w - np.linalg.solve((x * (y * (1 - y))[:, None]).T @ x + 1e-2 * np.eye(2), grad).clip(-2, 2)
+    return max(w[0], 1e-3) / spread, w[1]
+
+
+def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     mean, scale = unl.mean(0), 1 / (unl.std(0) + 1e-3)
     p, u = (np.clip((x - mean) * scale, -6, 6) for x in (pos, unl))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(w.size + 1), np.zeros(w.size + 1)
-    for step in range(1, ROUNDS + 1):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        negative = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
-        as_neg = np.append(u.T @ su / su.size - prior * (p.T @ sp) / sp.size, su.mean() - prior * sp.mean())
-        as_pos = prior * np.append(p.T @ (sp - 1) / sp.size, (sp - 1).mean())
-        g = as_pos + as_neg if negative >= 0 else -as_neg
-        g[:-1] += DECAY * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    model = Model(mean, scale, w, b, 1.0, 0.0)
-    x, y = held
-    if 0 < y.sum() < y.size:
-        z = model.margin(x)
-        spread = z.std() + 1e-9
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (y.size - y.sum() + 2))
-        weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (y.size - y.sum()))
-        slope, shift = 1.0, 0.0
-        for _ in range(2000):
-            d = weight * (_sigmoid(slope * z / spread + shift) - target)
-            slope, shift = slope - 2.0 * (d * z / spread).sum(), shift - 2.0 * d.sum()
-        model.slope, model.shift = max(slope, 1e-3) / spread, shift
-    return model
+    (p1, p2), (u1, u2) = ((x[::2], x[1::2]) for x in (p, u))
+    # First classifier: positives against unlabelled, which is the risk of prior 1/2 with unl as negatives.
+    first = descend(p1, u1, 0.5, ROUNDS // 3)
+    prior = estimate_prior(p2 @ first[:-1] + first[-1], u2 @ first[:-1] + first[-1])
+    half = descend(p1, u1, prior)
+    slope, shift = calibrate(*(x @ half[:-1] + half[-1] for x in (p2, u2)), prior)
+    whole = descend(p, u, prior, ROUNDS // 3, start=half)
+    return Model(mean, scale, whole[:-1], whole[-1], slope, shift)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t.as_py()).tobytes() for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *b.columns[1:]], ["x", "pos", "unl", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *b.columns[1:]], ["x", "pos", "unl", "h"])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     train = fold(F.col("doc_id"), 5) != 0
-    marked = labelled(labels, "quality", train)
-    share = dict(marked.groupBy("y").count().collect())
-    total = sum(share.values())
-    prior = share.get(1, 0) / total if total else 0.5
+    trusted = labelled(labels, "quality", train).filter("y = 1")
     web = docs.select("doc_id").filter(train & F.col("doc_id").isNotNull())
     kinds = (
-        lowest(marked.filter("y = 1"), SAMPLE, "trusted").select("doc_id", F.lit(True).alias("pos"), F.lit(False).alias("unl"), F.lit(1).alias("y"))
-        .union(lowest(marked.filter("y = 0"), SAMPLE, "calibration").select("doc_id", F.lit(False), F.lit(False), F.lit(0)))
-        .union(lowest(web, SAMPLE, "web").select("doc_id", F.lit(False), F.lit(True), F.lit(None).cast("int")))
+        lowest(trusted, SAMPLE, "trusted").select("doc_id", F.lit(True).alias("pos"), F.lit(False).alias("unl"))
+        .union(lowest(web, SAMPLE, "web").select("doc_id", F.lit(False), F.lit(True)))
     )
-    picked = kinds.groupBy("doc_id").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl"), F.max("y").alias("y"))
-    rows = with_text(docs, picked).select("text", "pos", "unl", "y").mapInArrow(_features, "x binary, pos boolean, unl boolean, y int").collect()
-    if not any(r.pos for r in rows) or not any(r.unl for r in rows):
-        return prior
+    picked = kinds.groupBy("doc_id").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl"))
+    sampled = with_text(docs, picked).select("text", "pos", "unl", F.xxhash64("doc_id", "text").alias("h"))
+    rows = sampled.mapInArrow(_features, "x binary, pos boolean, unl boolean, h long").collect()  # two samples' rows
+    rows.sort(key=lambda r: (r.h, r.x))
+    pos, unl = (np.array([getattr(r, k) for r in rows], bool) for k in ("pos", "unl"))
+    if min(pos.sum(), unl.sum()) < LEAST:
+        return 0.5
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float)
-    pos, unl, y = np.array([r.pos for r in rows]), np.array([r.unl for r in rows]), np.array([-1 if r.y is None else r.y for r in rows])
-    return fit(x[pos], x[unl], min(prior, 1 - 1e-3), (x[y >= 0], y[y >= 0]))
+    return fit(x[pos], x[unl])
 
 
 def scorer(model: Model | float) -> "callable":
