@@ -3,12 +3,14 @@
 Writing. Each task streams its rows into one archive in the shared folder. Of records with equal
 payloads (by SHA-256 and length) of REVISIT_BYTES or more, the one with the largest id is a response
 and carries the payload; the others are revisit records that refer to it. Largest ids are found by
-an aggregation, so a payload that a third of all pages share costs each task one row.
+an aggregation, so a payload that a third of all pages share costs each task one row; the list of
+revisits then meets the pages by their ids, so no payload is ever moved by its content.
 
 Reading. Archives are divided into byte ranges. A task scans its range for gzip magic, validates each
 candidate by inflating the start of the member and decoding a WARC header there, and owns the records
-that start inside its range; from the first one on it follows member after member, reading past its
-end for the last. Magic bytes inside compressed data fail validation.
+of the members that start inside its range; from the first one on it follows member after member,
+reading past its end for the last. Magic bytes inside compressed data fail validation. A member may hold
+any number of records, of any type, from any writer; what follows them other than line ends fails the job.
 
 Archives are opened through pyarrow's file systems by URI, so executors and driver need not share a
 local disk; a task's attempts write to names of their own, and only the names that finished tasks
@@ -16,11 +18,16 @@ returned are read.
 
 Defined results: a null html is an empty payload; control characters, spaces and % in a URL are percent-encoded
 in the archive and come back as they were; null ids and URLs come back null; rows that repeat the largest id of a
-payload are responses each; records without an id can't be referred to and are responses.
+payload are responses each; records without an id can't be referred to and are responses. Of records that this
+writer didn't make, page_id and refers_to are null where their ids don't name a page; html is the payload
+of responses and resources (of HTTP, what follows its header), else null; payload_bytes is its length, for others the HTTP
+header's Content-Length or null; payload_digest is the SHA-1 of a payload that is there, else the record's own, or null.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import io
 import re
@@ -35,7 +42,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covergrid.llm.util import shared_dir, until_exit
+from covergrid.llm.util import shared_dir, staged, until_exit
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 32 << 20
@@ -83,28 +90,45 @@ class Record:
     block: bytes = field(repr=False)
 
     def http(self) -> tuple[dict[str, str], bytes]:
+        """The fields of a HTTP message's header and what follows it."""
         head, _, payload = self.block.partition(b"\r\n\r\n")
         return _fields(head.split(b"\r\n")[1:]), payload
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+    """Header fields by their lower-case names; a line that starts with white space goes on with the one before."""
+    out, last = {}, None
     for line in lines:
-        k, sep, v = line.decode("utf-8", "replace").partition(":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last is not None:
+            out[last] += " " + text.strip()
+            continue
+        k, sep, v = text.partition(":")
         if sep:
-            out[k.strip().lower()] = v.strip()
+            last = k.strip().lower()
+            out[last] = v.strip()
     return out
 
 
-def decode_record(offset: int, data: bytes) -> Record:
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/1."):
-        raise ValueError(f"no WARC header at {offset}")
-    headers = _fields(head.split(b"\r\n")[1:])
-    block = rest[: int(headers["content-length"])]
-    if len(block) != int(headers["content-length"]):
-        raise ValueError(f"record at {offset} is cut short")
-    return Record(offset, headers, block)
+def decode_records(offset: int, data: bytes) -> Iterator[Record]:
+    """The records of one member."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == b"\r\n":  # what ends a record
+            at += 2
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or not data.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC header at {offset}")
+        headers = _fields(data[at:end].split(b"\r\n")[1:])
+        size = headers.get("content-length", "")
+        if not size.isdecimal():
+            raise ValueError(f"record at {offset} has no length")
+        block = data[end + 4 : end + 4 + int(size)]
+        if len(block) != int(size):
+            raise ValueError(f"record at {offset} is cut short")
+        yield Record(offset, headers, block)
+        at = end + 4 + int(size)
 
 
 # ---- splittable reader --------------------------------------------------------------------------
@@ -114,7 +138,7 @@ def _starts_record(head: bytes) -> bool:
     """Whether a gzip member starts here that starts with a WARC header; head: the next bytes of the file."""
     inflate = zlib.decompressobj(31)
     try:
-        return inflate.decompress(head, 64).startswith(b"WARC/1.")
+        return inflate.decompress(head, 64).startswith(b"WARC/")
     except zlib.error:
         return False
 
@@ -165,7 +189,7 @@ def read_range(f, start: int, end: int) -> Iterator[Record]:
             out.write(inflate.decompress(held))
             used += len(held) - len(inflate.unused_data)
             held = inflate.unused_data
-        yield decode_record(at, out.getvalue())
+        yield from decode_records(at, out.getvalue())
         at += used
 
 
@@ -196,11 +220,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"length": F.octet_length("html").cast("long"), "sha1": F.sha1("html"), "sha256": F.unhex(F.sha2("html", 256))})
-    large = rows.filter((F.col("length") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    holders = large.groupBy("sha256", "length").agg(F.max("page_id").alias("holder")).withColumnsRenamed({"sha256": "s", "length": "l"})
-    joined = rows.join(holders, (F.col("sha256") == F.col("s")) & (F.col("length") == F.col("l")), "left")
-    refers = F.when(F.col("holder") != F.col("page_id"), F.col("holder"))
-    written = joined.select("page_id", "url", "html", "length", "sha1", refers.alias("refers_to")).mapInArrow(_write(folder), "path string, size long")
+    keys = rows.filter((F.col("length") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select(F.col("page_id").alias("id"), F.col("sha256").alias("s"), F.col("length").alias("l"))
+    shared = staged(keys.groupBy("s", "l").agg(F.max("id").alias("holder"), F.min("id").alias("least")).filter("least < holder").drop("least"), "shared")
+    revisits = keys.join(shared, ["s", "l"]).filter("id < holder").distinct()
+    # Null ids would all meet in one task; nothing refers to them.
+    named = rows.filter("page_id is not null")
+    joined = named.join(revisits, (F.col("page_id") == F.col("id")) & (F.col("sha256") == F.col("s")), "left").withColumn("refers", F.col("holder"))
+    joined = joined.select(*rows.columns, "refers").union(rows.filter("page_id is null").withColumn("refers", F.lit(None).cast("long")))
+    written = joined.select("page_id", "url", "html", "length", "sha1", F.col("refers").alias("refers_to")).mapInArrow(_write(folder), "path string, size long")
     listing = f"{folder}/archives"
     written.write.parquet(listing)  # the tasks that finished, and what they wrote
     until_exit(pages.sparkSession, folder)
@@ -230,17 +257,37 @@ def _page(record_id: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def _digest(text: str | None) -> str | None:
+    """The hexadecimal SHA-1 that a digest field names, in base 16 or 32."""
+    kind, _, value = (text or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except binascii.Error:
+            return None
+    return value.lower() if re.fullmatch(r"[0-9a-fA-F]{40}", value) else None
+
+
 def _row(record: Record) -> tuple:
     h = record.headers
-    http, payload = record.http()
-    digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError(f"payload at {record.offset} differs from its digest")
+    kind, digest, page, payload, size = h.get("warc-type"), _digest(h.get("warc-payload-digest")), _page(h.get("warc-record-id")), None, None
+    if kind in ("response", "revisit") and h.get("content-type", "").lower().startswith("application/http"):
+        http, rest = record.http()
+        if kind == "response":
+            payload = rest
+        elif http.get("content-length", "").isdecimal():
+            size = int(http["content-length"])
+    elif kind in ("response", "resource"):
+        payload = record.block
+    if payload is not None:
+        size, found = len(payload), hashlib.sha1(payload).hexdigest()
+        if page is not None and found != digest:  # other writers may take the digest of a decoded payload
+            raise ValueError(f"payload at {record.offset} differs from its digest")
+        digest = found
     url = h.get("warc-target-uri")
-    return (
-        _page(h["warc-record-id"]), None if url is None else unquote(url), payload if kind == "response" else None,
-        int(http["content-length"]), digest, kind, _page(h.get("warc-refers-to")),
-    )
+    return page, None if url is None else unquote(url), payload, size, digest, kind, _page(h.get("warc-refers-to"))
 
 
 def read(spark: SparkSession, archives: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
