@@ -18,9 +18,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 @pytest.fixture(scope="module")
 def oracle():
-    t = Oracle.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Oracle.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 AWKWARD = [
@@ -30,7 +28,7 @@ AWKWARD = [
 
 
 def test_ids_equal_the_tokenizer(oracle):
-    t = packing.Tokenizer()
+    t = packing.Tokenizer(added=packing.added_tokens())
     for text in AWKWARD * 2:
         assert np.frombuffer(t.ids(text), "<u4").tolist() == oracle.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -118,6 +116,17 @@ def test_pack_end_to_end(spark, oracle):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_slices_and_blocks(spark, oracle, monkeypatch):
+    """Many equal rows under one id: ranks run through all slices and blocks without a gap."""
+    monkeypatch.setattr(packing, "SLICE", 3)
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    docs = spark.range(400).select(packing.F.lit(7).cast("long").alias("doc_id"), packing.F.lit("same words").alias("text")).repartition(5)
+    rows = packing.pack(docs).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(rows) == 400 and len({p[:2] for p in places}) == 400
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
+
+
 def test_repeated_rows_are_packed_each(spark):
     docs = spark.createDataFrame([(1, "a b c")] * 3 + [(None, "x")], "doc_id long, text string")
     rows = packing.pack(docs).collect()

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from covergrid.llm import grammar as gram
 from covergrid.llm import language, quality, toxicity
 
 LETTERS = {"aa": "abcdeh", "bb": "mnopqr", "cc": "abmnxz"}
@@ -21,47 +22,70 @@ def folds(ids, k):
 
 # ---- language ----
 
-def test_automaton_accepts_exactly_the_substrings():
+def reached(automaton, symbols):
+    """Whether the symbols can be read from the start without a new phrase."""
+    state = np.zeros(1, np.int32)
+    for i, x in enumerate(symbols):
+        state, new = automaton.move(state, np.array([x], np.int32))
+        if new[0] != (i == 0) or (i == 0 and not automaton.start[x]):
+            return False
+    return True
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 20])
+def test_automaton_accepts_exactly_the_substrings(cells):
     rnd = random.Random(2)
     s = [rnd.randrange(3) for _ in range(60)]
-    step = language.suffix_automaton(s)
-    seen = {tuple(s[i:j]) for i in range(61) for j in range(i, 61)}
-
-    def accepts(t):
-        at = 0
-        for x in t:
-            if x not in step[at]:
-                return False
-            at = step[at][x]
-        return True
-
-    assert all(accepts(t) for t in seen)
+    automaton = language.Automaton(np.array(s), 5, cells)
+    assert (automaton.table is not None) == bool(cells)
+    seen = {tuple(s[i:j]) for i in range(61) for j in range(i + 1, 61)}
+    assert all(reached(automaton, t) for t in seen)
     for _ in range(500):
-        t = tuple(rnd.randrange(3) for _ in range(rnd.randint(1, 9)))
-        assert accepts(t) == (t in seen)
-
-
-def test_phrases_equal_greedy_longest_matches(monkeypatch):
-    monkeypatch.setattr(language, "BLOCK", 37)
+        t = tuple(rnd.randrange(4) for _ in range(rnd.randint(1, 9)))
+        assert reached(automaton, t) == (t in seen)
+
+
+def plain_phrases(raw, sample):
+    """Greedy longest matches; a letter that the sample lacks is a phrase."""
+    seen = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
+    i = count = 0
+    while i < len(raw):
+        n = 1
+        while i + n < len(raw) and tuple(raw[i : i + n + 1]) in seen:
+            n += 1
+        i, count = i + n, count + 1
+    return count
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 25])
+@pytest.mark.parametrize("block", [5, 37, 512])
+def test_phrases_equal_greedy_longest_matches_of_whole_texts(monkeypatch, block, cells):
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "TABLE", cells)
     rnd = random.Random(4)
-    train = {k: words(rnd, v, 40) for k, v in LETTERS.items()}
+    train = {k: words(rnd, v, 25) for k, v in LETTERS.items()}
     parser = language.Parser(train)
-    texts = [words(rnd, LETTERS[k], n) for k in LETTERS for n in (1, 3, 30)] + ["a" * 200, "ü ö"]
+    texts = [words(rnd, LETTERS[k], n) for k in LETTERS for n in (1, 3, 30)] + ["a" * 90, "ü ö", "abc üü mn", train["aa"], train["aa"][9:80] + "q" + train["aa"][3:60]]
     got = parser.phrases([parser.symbols(t) for t in texts])
-    for t, row in zip(texts, got, strict=True):
-        raw = language.letters(t).tolist()
-        for k, name in enumerate(parser.names):
-            sample, count = language.letters(train[name]).tolist(), 0
-            has = lambda x: any(sample[i : i + len(x)] == x for i in range(len(sample)))
-            for at in range(0, len(raw), 37):
-                block, i = raw[at : at + 37], 0
-                while i < len(block):
-                    n = 1
-                    while i + n < len(block) and has(block[i : i + n + 1]) and has(block[i : i + n]):
-                        n += 1
-                    i, count = i + n, count + 1
-            # An unknown letter joins the phrase after it: it costs one phrase, or none of its own.
-            assert abs(int(row[k]) - count) <= sum(not has([c]) for c in raw)
+    samples = [language.letters(train[n]).tolist() for n in parser.names]
+    assert [row.tolist() for row in got] == [[plain_phrases(language.letters(t).tolist(), s) for s in samples] for t in texts]
+    names, scores = parser.predict(texts)
+    for t, name, score, row in zip(texts, names, scores, got, strict=True):
+        bits = [n * max(1, np.log2(len(s))) for n, s in zip(row, samples, strict=True)]
+        assert name == parser.names[int(np.argmin(bits))] and score == pytest.approx(1 - min(bits) / sorted(bits)[1])
+
+
+def test_many_scripts_and_long_training_texts(spark, monkeypatch):
+    """Thousands of different letters, a language that has only long texts, one without letters."""
+    monkeypatch.setattr(language, "TRAIN_CHARS", 50)
+    rnd = random.Random(5)
+    hanzi = "".join(chr(0x4E00 + rnd.randrange(6000)) for _ in range(9000))
+    rows = [(i, hanzi[i * 300 : i * 300 + 900], "zh") for i in range(25)] + [(100 + i, words(rnd, "abcde", 6), "ab") for i in range(25)] + [(200 + i, "123 !", "xx") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.sample(docs)
+    assert set(samples) == {"ab", "zh"} and len(samples["zh"]) > 900
+    got = {r.doc_id: r.lang_pred for r in language.report(docs).collect()}
+    assert all(got[i] == "zh" for i in range(25)) and all(got[100 + i] == "ab" for i in range(25)) and got[200] == "und"
 
 
 def test_language_held_out(spark):
@@ -110,28 +134,92 @@ def test_quality_held_out(spark):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
     assert {r.score for r in quality.report(docs, labels.limit(0)).collect()} == {0.5}
+    # Labels of positives alone: the prior comes from the unlabelled texts, so junk still goes.
+    alone = {r.doc_id: r.predicted for r in quality.report(docs, labels.filter("quality = 1")).collect()}
+    assert sum(alone[i] == marks[i] for i in held) / len(held) > 0.95
     assert quality.report(docs.limit(0), labels).count() == 0
 
 
+def plain_risk(w, p, u, prior):
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    positive, negative = prior * loss(p @ w), loss(-(u @ w)) - prior * loss(-(p @ w))
+    return positive, negative
+
+
+def test_risk_and_gradient():
+    rnd = np.random.default_rng(1)
+    for _ in range(30):
+        p, u, w, prior = rnd.normal(1, 1, (20, 3)), rnd.normal(0, 1, (30, 3)), rnd.normal(0, 2, 3), rnd.uniform(0.2, 0.95)
+        positive, negative, gp, gu = quality.risk(p @ w, u @ w, prior)
+        assert np.allclose((positive, negative), plain_risk(w, p, u, prior))
+        # Where the second part is below zero its gradient alone is followed, backwards.
+        aim = (lambda x: sum(plain_risk(x, p, u, prior))) if negative >= 0 else (lambda x: -plain_risk(x, p, u, prior)[1])
+        slope = [(aim(w + d) - aim(w - d)) / 2e-5 for d in np.eye(3) * 1e-5]
+        assert np.allclose(p.T @ gp + u.T @ gu, slope, atol=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_estimated_prior(prior):
+    rnd = np.random.default_rng(2)
+    unl = np.concatenate([rnd.normal(2, 1, int(4000 * prior)), rnd.normal(-2, 1, 4000 - int(4000 * prior))])
+    pos = rnd.normal(2, 1, 2000)
+    assert abs(quality.estimate_prior(pos, unl) - prior) < 0.05
+    slope, shift = quality.calibrate(pos, unl, prior)
+    assert -2 < (np.log(0.3 / 0.7) - shift) / slope < 2  # the cut lies between the classes
+
+
 # ---- toxicity ----
 
 @pytest.fixture(scope="module")
 def grammar():
-    return toxicity.Grammar({"idiot": 1.5, "scum ": 1.5})
-
-
-def test_grammar(grammar):
-    plain, base = grammar.score("so an idiot spoke."), toxicity.BASE
-    assert grammar.score("nothing here.") == base and grammar.score("") == base
-    assert plain > 0.5
-    assert grammar.score("an IDIOTIC plan") == plain  # a stem; a whole word must end
-    assert grammar.score("scummy water") == base and grammar.score("such scum") == plain
-    assert grammar.score("an anidiot") == base
-    assert base < grammar.score("he is not an idiot.") < grammar.score("he is an idiot.")
-    assert grammar.score("it said: idiot.") < plain < grammar.score("you idiot.")
-    assert grammar.score("he is not here. an idiot spoke.") == plain  # scopes end with their clause
-    assert grammar.score("we will kill you.") > 0.5 > grammar.score("we will kill time, and you know.") >= base
-    assert grammar.score("an idiot. an idiot.") > plain
+    return toxicity.Grammar({s: toxicity.MOST_WEIGHT for s in toxicity.INSULTS} | {"zquo": 3.0, "scum ": 3.0})
+
+
+# Sentences and whether they are toxic.
+SENTENCES = [
+    ("The clown juggled at the fair.", False), ("It was a worthless coin.", False), ("You are not stupid.", False), ('He said "you are stupid".', False),
+    ("I do not want to kill you.", False), ("we will kill time, and you know.", False), ("He was killed yesterday.", False), ("Scummy water, zqu and anidiot.", False),
+    ("you will be killed", True), ("we will kill you.", True), ("They should be murdered!", True), ("You are an idiot.", True), ("you idiot", True), ("YOU ARE ALL SUCH IDIOTS", True),
+    ("Nice day. He is a pathetic loser. Bye.", True), ("je vais te tuer", True), ("ich werde dich töten", True), ("Such scum. A zquofoo. Idiots.", True),
+    ("She never said you are worthless.", False), ("", False), ("no clause here", False),
+]
+
+
+@pytest.mark.parametrize("text, toxic", SENTENCES)
+def test_whole_clauses(grammar, text, toxic):
+    assert (grammar.score(text) >= toxicity.CUT) == toxic
+
+
+def test_weights(grammar):
+    score = grammar.score
+    assert score("nothing here.") == score("") == score("anidiot") == score("scummy water") == toxicity.BASE
+    assert toxicity.BASE < score("you are not an idiot.") < score("an idiot spoke.") < score("you are an idiot.")
+    assert score("an IDIOTIC plan") == score("an idiot plan") == score("such scum") < score("an idiot. an idiot.")
+    assert score("you are not here. you are an idiot.") == score("you are an idiot.")  # scopes end with their clause
+
+
+def test_composed_machine_equals_the_cascade():
+    """The composition, against running one transducer after the other over the whole clause."""
+    rnd = random.Random(3)
+    machine = gram.Machine()
+    for _ in range(3000):
+        clause = [rnd.choice(gram.CLASSES) for _ in range(rnd.randrange(14))]
+        stream = [(kind, 0) for kind in clause]
+        for t in gram.CASCADE:
+            state, out = t.start, []
+            for x in stream:
+                state, y = t.step(state, x)
+                out.append(y)
+            stream = out
+        assert machine.hits(clause) == [(i, marks) for i, (kind, marks) in enumerate(stream) if kind == gram.HIT]
+
+
+def test_learned_stems_do_not_depend_on_order(spark):
+    rows = [(i, f"word{i} zquob{i % 3} same pair" if i % 4 == 0 else f"word{i} other same pair") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = toxicity.learn(docs.repartition(1), labels)
+    assert first == toxicity.learn(docs.orderBy("text").repartition(5), labels) and any(s.startswith("zquob") for s in first)
 
 
 def test_toxicity_held_out(spark):
