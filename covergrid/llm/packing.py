@@ -7,8 +7,9 @@ window, a bitset subset-sum over the multiset of lengths finds the fill closest
 counts are backtracked and the window is repeated as often as the multiset allows. Where even the
 best fill leaves GRAIN ids or more, one more document is cut at a multiple of GRAIN to fill it.
 
-Documents find their places by rank among those of equal length, taken in slices of SLICE rows, so
-that no length, however common, is ranked in one task. The plan's rows name intervals of ranks.
+Documents find their places by rank among those of equal length, taken in slices of about SLICE rows,
+dealt out by where the tokenizing pass met them (so that equal rows are dealt out too), and slices in
+blocks of BLOCK: no length, however common, is ranked in one task. The plan's rows name intervals of ranks.
 
 crc32 of a piece that the plan cuts later comes from running crcs at every GRAIN ids, which the
 tokenizing pass leaves behind: texts are read and tokenized once.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -42,8 +45,8 @@ from pyspark.sql.window import Window
 from covergrid.llm.util import staged
 
 WINDOW, GRAIN, END = 2048, 64, 1
-SLICE = 1000
-REMEMBERED, REMEMBERED_CHARS = 250_000, 40
+SLICE, BLOCK = 250, 1 << 12
+REMEMBERED, REMEMBERED_CHARS = 400_000, 40
 #: The same vocabulary as byte_bpe_50k.json, as ranks.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -60,6 +63,21 @@ def added_tokens(path: str | None = None) -> dict[str, int]:
 _TWO_SPACES, _SPLIT = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)")
 
 
+class _Units(dict):
+    """The ids of units met before, by what follows their first character, which all of them share."""
+
+    def __init__(self, encoding: tiktoken.Encoding, lead: str):
+        super().__init__()
+        self.encoding, self.lead = encoding, lead
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.encoding.encode_ordinary(self.lead + unit)
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(unit) <= REMEMBERED_CHARS:
+            self[unit] = ids
+        return ids
+
+
 class Tokenizer:
     """Texts to ids as little-endian unsigned 32-bit integers; added tokens are recognised wherever they stand."""
 
@@ -67,18 +85,10 @@ class Tokenizer:
         with open(ranks, "rb") as f:
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.first, self.later = _Units(self.encoding, ""), _Units(self.encoding, " ")
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
-    def _unit(self, unit: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(unit), "<u4").tobytes()
-        if len(unit) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = ids
-        return ids
-
     def ids(self, text: str) -> bytes:
         if self.cut is None or not self.cut.search(text):
             return self._plain(text)
@@ -86,11 +96,11 @@ class Tokenizer:
 
     def _plain(self, text: str) -> bytes:
         parts = _SPLIT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        known, out = self.known, []
-        for i, p in enumerate(parts):
-            unit = " " + p if i else p
-            out.append(known.get(unit) or (self._unit(unit) if unit else b""))
-        return b"".join(out)
+        for units in (self.first, self.later):
+            if len(units) > REMEMBERED:
+                units.clear()
+        head = self.first[parts[0]] if parts[0] else b""
+        return head + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 def pieces_of(ids: bytes) -> Iterator[tuple[int, int, int, list[int] | None]]:
@@ -108,12 +118,14 @@ def pieces_of(ids: bytes) -> Iterator[tuple[int, int, int, list[int] | None]]:
 
 
 def pieces(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id, start, length, crc, doc_tokens, running: each document cut at multiples of WINDOW."""
+    """doc_id, start, length, crc, doc_tokens, running, met (which piece of which task it is): each document
+    cut at multiples of WINDOW."""
 
     added = added_tokens()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = Tokenizer(ranks, added), np.array([END], "<u4").tobytes()
+        met = TaskContext.get().partitionId() << 40
         for b in rows:
             at, cols = [], ([], [], [], [], [])
             for i, text in enumerate(b.column(1)):
@@ -123,10 +135,12 @@ def pieces(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                     for c, v in zip(cols, (start, n, crc, len(ids) // 4, running), strict=True):
                         c.append(v)
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *made], ["doc_id", "start", "length", "crc", "doc_tokens", "running"])
+            count = pa.array(np.arange(met, met + len(at)))
+            met += len(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *made, count], ["doc_id", "start", "length", "crc", "doc_tokens", "running", "met"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(batches, f"doc_id {kind}, start long, length int, crc long, doc_tokens long, running array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(batches, f"doc_id {kind}, start long, length int, crc long, doc_tokens long, running array<long>, met long")
 
 
 def best_fill(have: dict[int, int], room: int) -> dict[int, int]:
@@ -228,11 +242,14 @@ def pack(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # WINDOW rows at most
     places = spark.createDataFrame(plan(histogram), "length int, lo int, hi int, first long, last long, sequence long, offset long")
     slices = spark.createDataFrame([(n, 1 + k // SLICE) for n, k in histogram.items()], "length int, slices long")
-    sliced = cut.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "crc"), F.col("slices")))
-    sizes = sliced.groupBy("length", "slice").count()
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "crc", "doc_tokens")
+    sliced = cut.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64("met"), F.col("slices"))).withColumn("block", F.floor(F.col("slice") / BLOCK))
+    sizes = staged(sliced.groupBy("length", "block", "slice").count(), "slices")
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("length", "block").agg(F.sum("count").alias("n"))
+    blocks = blocks.select("length", "block", F.coalesce(F.sum("n").over(upto("length", "block")), F.lit(0)).alias("first_of_block"))
+    inside = F.coalesce(F.sum("count").over(upto("length", "block", "slice")), F.lit(0))
+    sizes = sizes.withColumn("inside", inside).join(blocks, ["length", "block"]).select("length", "slice", (F.col("first_of_block") + F.col("inside")).alias("before"))
+    order = Window.partitionBy("length", "slice").orderBy("met")
     ranked = sliced.withColumn("nth", F.row_number().over(order)).join(sizes, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
     placed = ranked.join(F.broadcast(places), (ranked.length == places.length) & (ranked["rank"] >= places["first"]) & (ranked["rank"] < places["last"])).drop(places.length)
     return placed.select(
