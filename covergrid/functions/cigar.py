@@ -31,19 +31,22 @@ def span(cigar: Column) -> Column:
 
 def steps(cigar: Column) -> Column:
     """Each operation that lies on the reference: op, len, reference offset, query offset, and whether
-    an insertion begins right after its last base (matches only)."""
+    an insertion begins right after its last base (matches only). One pass with running offsets."""
+    begun = F.transform(cigar, lambda x, i: F.struct(x["op"].alias("op"), x["len"].alias("len"), F.coalesce(F.get(cigar, i + 1)["op"] == "I", F.lit(False)).alias("before_ins")))
+    kind = "array<struct<op:string,len:int,r:bigint,q:bigint,ins:boolean>>"
 
-    def step(x: Column, i: Column) -> Column:
-        before = F.slice(cigar, F.lit(1), i)
+    def step(done: Column, x: Column) -> Column:
+        one = F.struct(x["op"].alias("op"), x["len"].alias("len"), done["r"].alias("r"), done["q"].alias("q"), (x["op"].isin(MATCHES) & x["before_ins"]).alias("ins"))
+        on_reference = x["op"].isin(ON_REFERENCE)
         return F.struct(
-            x["op"].alias("op"), x["len"].alias("len"),
-            consumed(before, ON_REFERENCE).alias("r"), consumed(before, ON_QUERY).alias("q"),
-            (x["op"].isin(MATCHES) & F.coalesce(F.get(cigar, i + 1)["op"] == "I", F.lit(False))).alias("ins"),
+            (done["r"] + F.when(on_reference, x["len"]).otherwise(0)).alias("r"), (done["q"] + F.when(x["op"].isin(ON_QUERY), x["len"]).otherwise(0)).alias("q"),
+            F.when(on_reference & (x["len"] > 0), F.array_append(done["out"], one)).otherwise(done["out"]).cast(kind).alias("out"),
         )
 
     zero, only = F.lit(0).cast("bigint"), F.get(cigar, F.lit(0))
-    whole = F.array(F.struct(only["op"].alias("op"), only["len"].alias("len"), zero.alias("r"), zero.alias("q"), F.lit(False).alias("ins")))
-    general = F.filter(F.transform(cigar, step), lambda s: s["op"].isin(ON_REFERENCE) & (s["len"] > 0))
+    whole = F.array(F.struct(only["op"].alias("op"), only["len"].alias("len"), zero.alias("r"), zero.alias("q"), F.lit(False).alias("ins"))).cast(kind)
+    start = F.struct(zero.alias("r"), zero.alias("q"), F.array().cast(kind).alias("out"))
+    general = F.aggregate(begun, start, step, lambda done: done["out"])
     # Most reads are one match from end to end: they pass without the lambdas, which are interpreted.
     return F.when((F.size(cigar) == 1) & only["op"].isin(ON_REFERENCE) & (only["len"] > 0), whole).otherwise(general)
 

@@ -20,23 +20,28 @@ PIECE = 1 << PIECE_BITS
 
 
 def aligned(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep, mate_aware: bool) -> DataFrame:
-    """A row for every read and reference position that it spans inside a region. Operations are clipped
-    to regions before they are expanded to positions."""
+    """A row for every read and reference position that it spans inside a region. Reads are clipped to
+    regions, then their operations, before these are expanded to positions."""
     carried = ["qname", "flag", "ord"] if mate_aware else []
     made = reads.filter(F.col("flag").bitwiseAND(F.lit(UNMAPPED)) == 0).withColumn("pass", keep())
-    steps = made.select("tid", "pass", "mapq", "seq", "qual", "pos", *carried, F.inline(cigar.steps(F.col("cigar"))))
+    # As bytes, so that one of them is found without counting letters from the start.
+    made = made.withColumn("seq", F.coalesce(F.col("seq"), F.lit("")).cast("binary"))
+    kept = ["pos", "cigar", "pass", "mapq", "seq", "qual", *carried]
+    # Whole reads meet regions, before anything is expanded.
+    spans = made.select("tid", F.col("pos").alias("start"), (F.col("pos") + cigar.span(F.col("cigar"))).alias("stop"), *kept)
+    met = R.clip_to_contigs(spans, contigs, kept) if places is None else R.clip(spans, places, kept)
     begin = F.col("pos") + F.col("r")
-    steps = steps.select("tid", begin.alias("start"), (begin + F.col("len")).alias("stop"), begin.alias("s"), (begin + F.col("len")).alias("e"), "op", "q", "ins", "pass", "mapq", "seq", "qual", *carried)
-    kept = ["s", "e", "op", "q", "ins", "pass", "mapq", "seq", "qual", *carried]
-    cut = R.clip_to_contigs(steps, contigs, kept) if places is None else R.clip(steps, places, kept)
-    at = cut.select("rid", "tid", "ref", *kept, F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("pos"))
+    rest = ["rid", "tid", "ref", "pass", "mapq", "seq", "qual", *carried]
+    steps = met.select(*rest, "pos", "start", "stop", F.inline(cigar.steps(F.col("cigar")))).select(*rest, "op", "q", "ins", begin.alias("s"), (begin + F.col("len")).alias("e"), "start", "stop")
+    cut = steps.withColumns({"a": F.greatest("s", "start"), "z": F.least("e", "stop")}).filter("a < z")
+    at = cut.select(*rest, "op", "q", "ins", "s", "e", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("pos"))
     match = F.col("op").isin(cigar.MATCHES)
     here = F.col("q") + F.col("pos") - F.col("s")
-    has_base = match & (F.length(F.coalesce("seq", F.lit(""))) > 0)
+    has_base = match & (F.octet_length("seq") > 0)
     return at.select(
         "rid", "tid", "ref", "pos", "pass", "mapq", *carried,
         F.when(match, F.lit("M")).otherwise(F.col("op")).alias("op"), has_base.alias("has_base"),
-        F.when(has_base, base(F.substring("seq", (here + 1).cast("int"), F.lit(1)))).alias("base"),
+        F.when(has_base, base(F.substring("seq", (here + 1).cast("int"), F.lit(1)).cast("string"))).alias("base"),
         F.when(has_base, F.coalesce(F.get("qual", here.cast("int")), F.lit(255))).alias("bq"),
         (F.col("ins") & (F.col("pos") == F.col("e") - 1)).alias("ins"),
     )
@@ -65,10 +70,12 @@ def _counts(min_base_quality: int | None) -> list[Column]:
 
 
 def reference_pieces(fasta: DataFrame) -> DataFrame:
-    """(ref, seq) to (ref, piece, bases), PIECE bases a row."""
-    n = F.length("seq")
-    pieces = fasta.filter(n > 0).select("ref", "seq", F.explode(F.sequence(F.lit(0), F.shiftright(n - 1, PIECE_BITS))).alias("piece"))
-    return pieces.select("ref", F.col("piece").cast("bigint").alias("piece"), F.expr(f"substring(seq, piece * {PIECE} + 1, {PIECE})").alias("bases"))
+    """(ref, seq) to (ref, piece, bases), PIECE bases a row, cut from bytes; pieces stay as they are."""
+    if "piece" in fasta.columns:
+        return fasta.select("ref", "piece", "bases")
+    raw = fasta.select("ref", F.col("seq").cast("binary").alias("seq")).filter(F.octet_length("seq") > 0)
+    pieces = raw.select("ref", "seq", F.explode(F.sequence(F.lit(0), F.shiftright(F.octet_length("seq") - 1, PIECE_BITS))).alias("piece"))
+    return pieces.select("ref", F.col("piece").cast("bigint").alias("piece"), F.expr(f"cast(substring(seq, piece * {PIECE} + 1, {PIECE}) AS string)").alias("bases"))
 
 
 def base_depth(
@@ -77,7 +84,8 @@ def base_depth(
     keep=ReadFilter(), merge_regions: bool = True,
 ) -> DataFrame:
     """A row for every position that any read spans (with keep_zeros: every position of every region).
-    REF_BASE is there with fasta only; NEAR_MAX_DEPTH looks at all reads, before filters and mates."""
+    REF_BASE is there with fasta only, (ref, seq) or pieces (ref, piece, bases); NEAR_MAX_DEPTH looks at all
+    reads, before filters and mates."""
     strategy = mates.Strategy.parse(strategy) if isinstance(strategy, str) else strategy
     places = None if regions is None else R.merged(regions) if merge_regions else regions
     plain = {"n": F.lit(1), "rec": F.lit(None).cast("string")}
@@ -97,7 +105,7 @@ def base_depth(
     extra = []
     if fasta is not None:
         counts = counts.withColumn("piece", F.shiftright("pos", PIECE_BITS)).join(reference_pieces(fasta), ["ref", "piece"], "left")
-        letter = F.substring("bases", (F.col("pos") % PIECE + 1).cast("int"), F.lit(1))
+        letter = F.substring(F.col("bases").cast("binary"), (F.col("pos") % PIECE + 1).cast("int"), F.lit(1)).cast("string")
         missing = F.raise_error(F.concat(F.lit("no reference base at "), "ref", F.lit(":"), F.col("pos").cast("string")))
         extra = [F.when(F.coalesce(F.length(letter), F.lit(0)) == 1, letter).otherwise(missing.cast("string")).alias("REF_BASE")]
     return counts.select(F.col("ref").alias("REF"), (F.col("pos") + shift).alias("POS"), *extra, *COUNTS, near.alias("NEAR_MAX_DEPTH"))

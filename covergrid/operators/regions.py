@@ -67,7 +67,7 @@ def clip(spans: DataFrame, regions: DataFrame, keep: list[str]) -> DataFrame:
     is an equi-join and makes each pair once."""
     bins = lambda: F.explode(F.sequence(F.shiftright("start", BIN_BITS), F.shiftright(F.col("stop") - 1, BIN_BITS))).alias("bin")
     s = spans.filter("start < stop").select("tid", F.col("start").alias("a"), F.col("stop").alias("z"), *keep, bins())
-    r = regions.select("tid", "rid", "ref", "start", "stop", bins())
+    r = small(regions.select("tid", "rid", "ref", "start", "stop", bins()))
     joined = s.join(r, ["tid", "bin"]).filter((F.col("a") < F.col("stop")) & (F.col("start") < F.col("z")) & (F.shiftright(F.greatest("a", "start"), BIN_BITS) == F.col("bin")))
     return joined.select("rid", "tid", "ref", "start", "stop", F.greatest("a", "start").alias("a"), F.least("z", "stop").alias("z"), *keep)
 
