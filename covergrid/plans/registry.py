@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
 PASS = "((~flag) & 1) = 0 AND (flag & 512) = 0 AND mapq >= 5"
 OVERLAPS = "((flag & 1) <> 0 AND tid = mate_tid AND (abs(tlen) // 2 < span OR abs(mate_pos - pos) < span))"
 _CTE = f"""reads AS ({T.READS_SQL}),
-contigs(tid, ref, length) AS (VALUES (0, 'chr1', 20000), (1, 'chr2', 20000), (2, 'chr3', 20000)),
+contigs(tid, ref, length) AS (VALUES {', '.join(f"({i}, '{r}', {T.LENGTH})" for i, r in enumerate(T.CONTIG_NAMES))}),
 ops(cigar_text, op, r, q, n, ins) AS (VALUES ('25M','M',0,0,25,false), ('2M2I21M','M',0,0,2,true), ('2M2I21M','M',2,4,21,false), ('2M5D23M','M',0,0,2,false),
   ('2M5D23M','D',2,2,5,false), ('2M5D23M','M',7,2,23,false), ('3M5N22M','M',0,0,3,false), ('3M5N22M','N',3,3,5,false), ('3M5N22M','M',8,3,22,false)),
 spans AS (SELECT cigar_text, CAST(max(r + n) AS BIGINT) AS span FROM ops GROUP BY cigar_text),
@@ -176,13 +176,13 @@ _only("only_depth_sites", _depth_sql(regions=f"(SELECT row_number() OVER () AS r
 
 
 def _base_sql(strategy: Strategy | None = None, quality: int | None = None, zeros=False, shift=1, fasta=False, near=99_000, regions="(SELECT row_number() OVER () AS rid, ref, 0 AS start, length AS stop FROM contigs)") -> str:
-    rows = f"""aligned AS (SELECT g.rid, x.* FROM (SELECT ref, pos + r + i AS p, qname, ({PASS}) AS pass, mapq, (flag & 64) // 64 AS first, ord, op, op = 'M' AS has_base, ins AND i = n - 1 AS ins,
-        CASE WHEN op = 'M' THEN substr(seq, CAST(q + i + 1 AS INT), 1) END AS base, CASE WHEN op = 'M' THEN (strpos('0123456789abcdef', substr(qual_text, CAST(q + i + 1 AS INT), 1)) - 1) * 3 END AS bq
+    rows = f"""aligned AS (SELECT g.rid, x.* FROM (SELECT ref, pos + r + i AS p, qname, ({PASS}) AS pass, mapq, (flag & 64) // 64 AS first, ord, op, op = 'M' AND seq <> '' AS has_base, ins AND i = n - 1 AS ins,
+        CASE WHEN op = 'M' AND seq <> '' THEN substr(seq, CAST(q + i + 1 AS INT), 1) END AS base, CASE WHEN op = 'M' AND seq <> '' THEN (strpos('0123456789abcdef', substr(qual_text, CAST(q + i + 1 AS INT), 1)) - 1) * 3 END AS bq
         FROM (SELECT *, unnest(range(0, n)) AS i FROM reads JOIN ops USING (cigar_text))) x JOIN {regions} g ON x.ref = g.ref AND p >= g.start AND p < g.stop)"""
     if strategy is None:
         picked = "picked AS (SELECT *, 1 AS n, NULL AS rec FROM aligned)"
     else:
-        # Two reads at most: x is better than y unless y is better; pairs without bases on both sides order by mapq, first.
+        # The best read by rank, the runner-up by lead; names with a read that has no base here order by mapq, first.
         keys = {Strategy.ORIGINAL: "mapq, first", Strategy.IUPAC: "0, 0", Strategy.N: "0, 0"}.get(strategy) or ", ".join(strategy.keys) + (", first" if strategy.first else ", 0")
         parts = [*[k.strip() for k in keys.split(",")], "0"][:3]
         order = "CAST(pass AS INT) DESC, " + ", ".join(f"CASE WHEN pairs THEN {k} ELSE {o} END DESC" for k, o in zip(parts, ("mapq", "first", "0"))) + ", ord"
@@ -191,12 +191,12 @@ def _base_sql(strategy: Strategy | None = None, quality: int | None = None, zero
         else:
             ambiguity = "" if strategy.tie == "n" else " ".join(f"WHEN least(base, base2) || greatest(base, base2) = '{k}' THEN '{v}'" for k, v in {"AG": "R", "CT": "Y", "CG": "S", "AT": "W", "GT": "K", "AC": "M"}.items())
             same = "AND bq = bq2 AND mapq = mapq2" if strategy.keys else ""
-            rec = f"CASE WHEN n = 2 AND pass AND pass2 AND pairs {same} THEN CASE WHEN base = base2 THEN base {ambiguity} ELSE 'N' END END"
+            rec = f"CASE WHEN n >= 2 AND pass AND pass2 AND pairs {same} THEN CASE WHEN base = base2 THEN base {ambiguity} ELSE 'N' END END"
         picked = f"""picked AS (SELECT *, {rec} AS rec FROM (SELECT *, row_number() OVER w AS rank, lead(base) OVER w AS base2, lead(bq) OVER w AS bq2, lead(mapq) OVER w AS mapq2, lead(pass) OVER w AS pass2
           FROM (SELECT *, count(*) OVER g AS n, bool_and(has_base) OVER g AS pairs FROM aligned WINDOW g AS (PARTITION BY rid, p, qname))
           WINDOW w AS (PARTITION BY rid, p, qname ORDER BY {order})) WHERE rank = 1)"""
-    masked = "false" if quality is None else f"bq < {quality}"
-    called = f"called AS (SELECT *, CASE WHEN op <> 'M' THEN op WHEN {masked} THEN 'N' WHEN rec IS NOT NULL THEN rec ELSE base END AS call FROM picked)"
+    masked = "false" if quality is None else f"(bq IS NULL OR bq < {quality})"
+    called = f"called AS (SELECT *, CASE WHEN op <> 'M' THEN op WHEN {masked} THEN 'N' WHEN rec IS NOT NULL THEN rec WHEN NOT has_base THEN 'N' ELSE base END AS call FROM picked)"
     number = lambda c, a: f'CAST(count(*) FILTER ({c}) AS BIGINT) AS "{a}"'
     sums = [number("pass AND op <> 'N'", "DEPTH"), *(number(f"pass AND op = 'M' AND call = '{b}'", b) for b in "ACGTNRYSWKM"), number("pass AND ins", "INS"), number("pass AND op = 'D'", "DEL")]
     sums += [number("pass AND op = 'N'", "REF_SKIP"), number("NOT pass", "FAIL"), number("pass AND n >= 2", "COUNT_OF_MATE_RESOLUTIONS"), "CAST(sum(n) AS BIGINT) AS raw"]
@@ -235,16 +235,15 @@ _pile("base_depth_mate_base_qual", _base_sql(Strategy.BASE_QUAL_MAP_QUAL_IUPAC,
 
 # ---- merge-adjacent, bases, processors -----------------------------------------------------------
 
-_ROWS = "SELECT concat('chr', l_orderkey % 3 + 1) AS REF, l_orderkey * 3 AS POS, l_orderkey * 3 + l_linenumber * 3 AS \"END\", l_suppkey % 2 AS DEPTH, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem"
-_MERGE = """WITH r AS (SELECT REF, POS, {end} AS e, DEPTH FROM ({rows}) WHERE rn = 1),
-b AS (SELECT *, CASE WHEN lag(DEPTH) OVER w = DEPTH AND lag(e) OVER w >= POS THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY REF ORDER BY POS)),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY REF ORDER BY POS) AS island FROM b)
-SELECT REF, CAST(min(POS) AS BIGINT) AS POS, CAST(arg_max(e, POS) AS BIGINT) AS "END", CAST(min(DEPTH) AS BIGINT) AS DEPTH FROM i GROUP BY REF, island"""
+_ROWS = "SELECT concat('chr', l_orderkey % 3 + 1) AS REF, l_orderkey * 3 + l_linenumber AS POS, l_orderkey * 3 + l_linenumber * 3 AS \"END\", l_suppkey % 2 AS DEPTH FROM lineitem"
+_MERGE = """WITH r AS (SELECT REF, POS, {end} AS e, DEPTH FROM ({rows})),
+b AS (SELECT *, CASE WHEN lag(DEPTH) OVER w = DEPTH AND lag(e) OVER w >= POS THEN 0 ELSE 1 END AS fresh, row_number() OVER w AS nth FROM r WINDOW w AS (PARTITION BY REF ORDER BY POS, e, DEPTH)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY REF ORDER BY nth) AS island FROM b)
+SELECT REF, CAST(min(POS) AS BIGINT) AS POS, CAST(arg_max(e, nth) AS BIGINT) AS "END", CAST(min(DEPTH) AS BIGINT) AS DEPTH FROM i GROUP BY REF, island"""
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    made = spark.sql(_ROWS.replace('"END"', "`END`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    return made.filter("rn = 1").drop("rn")
+    return spark.sql(_ROWS.replace('"END"', "`END`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
 
 
 @query("merge_adjacent", _MERGE.format(end='"END"', rows=_ROWS))
