@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covergrid.api import Engine
 from covergrid.functions import cigar
@@ -287,3 +288,93 @@ def _(spark, sf):
         return pd.DataFrame({"REF": [region.get("ref")], "START": [region.get("start")], "READS": [len(reads)]})
 
     return _engine(spark, sf).run(count, "REF string, START bigint, READS bigint", chunksize=5000)
+
+
+# ---- files: written from the tables, read back ----------------------------------------------------
+
+
+def _text(df: DataFrame, column: str, path: str, name: str) -> str:
+    """Writes a column as lines, in the order that df has; the folder's path."""
+    df.select(F.col(column).alias("value")).write.text(f"{path}/{name}")
+    return f"{path}/{name}"
+
+
+def _sam(spark: SparkSession, sf: str) -> Engine:
+    """The reads as a SAM file: header and records are files of one folder."""
+    reads = T.reads(spark, sf)
+    step = lambda x: F.concat(x["len"].cast("string"), x["op"])
+    quals = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
+    bare = F.length("seq") == 0
+    line = F.concat_ws(
+        "\t", "qname", F.col("flag").cast("string"), "ref", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.array_join(F.transform("cigar", step), ""), F.lit("="),
+        (F.col("mate_pos") + 1).cast("string"), F.col("tlen").cast("string"), F.when(bare, "*").otherwise(F.col("seq")), F.when(bare, "*").otherwise(quals),
+    )
+    header = T.contigs(spark).select(F.concat(F.lit("@SQ\tSN:"), "ref", F.lit("\tLN:"), F.col("length").cast("string")).alias("line"), "tid").coalesce(1).orderBy("tid")
+    made = reads.select(line.alias("line"))
+    from covergrid.sources import sinks
+
+    folder = sinks.shared_folder(spark)
+    header.select("line").write.text(f"{folder}/x.sam")
+    made.write.mode("append").text(f"{folder}/x.sam")
+    return Engine.open(spark, f"{folder}/x.sam")
+
+
+@query("sam_reads", f"WITH {_CTE} SELECT qname, flag, tid, ref, CAST(pos AS BIGINT) AS pos, mapq, CAST(span AS BIGINT) AS span, mate_tid, CAST(mate_pos AS BIGINT) AS mate_pos, CAST(tlen AS BIGINT) AS tlen, seq, qual_text AS quals FROM reads JOIN spans USING (cigar_text)")
+def _(spark, sf):
+    digits = F.array_join(F.transform("qual", lambda q: F.substring(F.lit("0123456789abcdef"), (q / 3 + 1).cast("int"), F.lit(1))), "")
+    return _sam(spark, sf).reads.select("qname", "flag", "tid", "ref", "pos", "mapq", cigar.span(F.col("cigar")).alias("span"), "mate_tid", "mate_pos", "tlen", F.coalesce("seq", F.lit("")).alias("seq"), digits.alias("quals"))
+
+
+@query("sam_contigs", f"WITH {_CTE} SELECT tid, ref, CAST(length AS BIGINT) AS length FROM contigs")
+def _(spark, sf):
+    return _sam(spark, sf).contigs
+
+
+@query("bed_and_vcf_regions", f"WITH {_CTE} SELECT ref, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM {_islands('(SELECT ref, start, stop FROM beds UNION ALL SELECT ref, start, stop FROM vcfs)')}")
+def _(spark, sf):
+    from covergrid.sources import sinks
+
+    folder, engine = sinks.shared_folder(spark), _engine(spark, sf)
+    beds = T.intervals(spark, sf).select(F.concat_ws("\t", "ref", F.col("start").cast("string"), F.col("stop").cast("string"), F.lit("name")).alias("line"))
+    sites = T.sites(spark, sf).select(F.concat_ws("\t", "ref", F.col("stop").cast("string"), F.lit("."), F.lit("A")).alias("line"))
+    return engine.regions(_text(beds, "line", folder, "x.bed"), _text(sites, "line", folder, "x.vcf")).select("ref", "start", "stop")
+
+
+@query("fasta_pieces", f"""WITH {_CTE} SELECT ref, CAST(p // 4096 AS BIGINT) AS piece, md5(string_agg(substr('ACGTacN', CAST((CAST(p AS BIGINT) * p + CAST(substr(ref, 4) AS INT) - 1) % 7 + 1 AS INT), 1), '' ORDER BY p)) AS digest FROM grid GROUP BY ALL""")
+def _(spark, sf):
+    from covergrid.sources import sinks, text
+
+    lines = T.fasta(spark).select("ref", F.posexplode(F.expr("transform(sequence(0, (length(seq) - 1) div 61), i -> substring(seq, i * 61 + 1, 61))")).alias("i", "line"))
+    named = T.contigs(spark).select("ref", F.lit(-1).alias("i"), F.concat(F.lit(">"), "ref", F.lit(" more")).alias("line"))
+    path = _text(lines.union(named).orderBy("ref", "i"), "line", sinks.shared_folder(spark), "x.fa")
+    return text.fasta_pieces(spark, path, 12).select("ref", "piece", F.md5("bases").alias("digest"))
+
+
+@query("written_in_order", f"SELECT row_number() OVER (ORDER BY REF, POS) AS n, concat_ws(chr(9), REF, POS, \"END\", DEPTH) AS line FROM ({_depth_sql(zeros=False)}) UNION ALL SELECT 0, concat_ws(chr(9), 'REF', 'POS', 'END', 'DEPTH')")
+def _(spark, sf):
+    """The order of a written file's lines, of block-gzipped output under a name that Hadoop doesn't know."""
+    from covergrid.sources import sinks, text
+
+    path = f"{sinks.shared_folder(spark)}.tsv.bgzf"
+    rows = only_depth(T.reads(spark, sf), T.contigs(spark), keep=KEEP, drop_zero_runs=True)
+    sinks.write_bgzf(sinks.ordered(rows, T.contigs(spark)), path)
+    numbered = text.lines(spark, path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return numbered.select(F.row_number().over(Window.orderBy("id")).cast("bigint").alias("n"), "line").withColumn("n", F.col("n") - 1)
+
+
+@query("tsv_merged", _MERGE.format(end='"END"', rows=f"SELECT * FROM ({_depth_sql(mate_fix=True, runs=False, zeros=False)})"))
+def _(spark, sf):
+    """Single positions written as a table, read back and merged."""
+    from covergrid.sources import sinks, text
+
+    path = sinks.shared_folder(spark)
+    rows = only_depth(T.reads(spark, sf), T.contigs(spark), keep=KEEP, mate_fix=True, no_merge=True)
+    sinks.write_tsv(rows, path)
+    return M.merge_adjacent(text.intervals(spark, path))
+
+
+@query("zero_row", "SELECT 'chr1' AS REF, CAST(1 AS BIGINT) AS POS, " + ", ".join(f'CAST(0 AS BIGINT) AS "{c}"' for c in COUNTS) + ", false AS NEAR_MAX_DEPTH")
+def _(spark, sf):
+    """What a position without reads is."""
+    one = R.whole(T.contigs(spark).filter("tid = 0")).withColumn("stop", F.lit(1).cast("bigint"))
+    return base_depth(T.reads(spark, sf).filter("false"), T.contigs(spark), one, keep_zeros=True)

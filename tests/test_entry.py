@@ -30,7 +30,7 @@ def test_imports_without_llm(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-@pytest.mark.parametrize("name", ["only_depth_ranges", "only_depth_mate_fix", "base_depth_mate_iupac", "merge_adjacent", "regions_union"])
+@pytest.mark.parametrize("name", ["only_depth_mate_fix", "base_depth_mate_iupac", "merge_adjacent", "regions_union", "sam_reads", "bed_and_vcf_regions", "fasta_pieces", "written_in_order", "tsv_merged"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):

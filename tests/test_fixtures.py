@@ -1,4 +1,5 @@
-"""Hand-sized inputs and the rows that they must give."""
+"""Reads and the rows that they must give. The tables up to MATES are fixed values: records and depths that any
+engine of this behaviour must reproduce."""
 
 import re
 
