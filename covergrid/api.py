@@ -25,6 +25,8 @@ class Engine:
     spark: SparkSession
     reads: DataFrame
     contigs: DataFrame
+    #: The BAM file that the reads come from, so that regions can be fetched by its index.
+    bam: str | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Engine:
@@ -32,7 +34,7 @@ class Engine:
         from covergrid.sources import bam, text
 
         if path.endswith(".bam"):
-            return cls(spark, bam.reads(spark, path), bam.contigs(spark, path))
+            return cls(spark, bam.reads(spark, path), bam.contigs(spark, path), path)
         if path.endswith(".cram"):
             raise NotImplementedError("CRAM is not supported: convert to BAM or SAM")
         return cls(spark, text.sam_reads(spark, path), text.sam_contigs(spark, path))
@@ -53,19 +55,29 @@ class Engine:
             return R.united(*sides, merge=merge)
         return R.merged(sides[0]) if merge else sides[0]
 
+    def near(self, regions: DataFrame | None) -> DataFrame:
+        """The reads that can overlap the regions: of an indexed BAM file only those parts that hold them are read."""
+        from covergrid.sources import bam
+
+        if self.bam is None or regions is None:
+            return self.reads
+        asked = regions.select("tid", "start", "stop").limit(R.SMALL + 1).collect()
+        return self.reads if len(asked) > R.SMALL else bam.reads(self.spark, self.bam, regions=[tuple(r) for r in asked])
+
     def base_depth(self, regions: DataFrame | None = None, **options) -> DataFrame:
-        return _base.base_depth(self.reads, self.contigs, regions, **options)
+        return _base.base_depth(self.near(regions), self.contigs, regions, **options)
 
     def only_depth(self, regions: DataFrame | None = None, **options) -> DataFrame:
-        return _only.only_depth(self.reads, self.contigs, regions, **options)
+        return _only.only_depth(self.near(regions), self.contigs, regions, **options)
 
     def run(self, processor: Processor, schema: str, regions: DataFrame | None = None, *, chunksize: int = 1_000_000, merge: bool = True) -> DataFrame:
         """Any per-region computation: each region, in pieces of chunksize, is given to the processor once
         with the reads that overlap it (none: an empty frame). A piece is what one task holds in memory."""
         places = R.whole(self.contigs) if regions is None else R.merged(regions) if merge else regions
         places = R.chunked(places, chunksize)
-        columns = [c for c in self.reads.columns if c not in ("tid", "ref")]
-        spans = self.reads.select("tid", F.col("pos").alias("start"), (F.col("pos") + F.greatest(cigar.span(F.col("cigar")), F.lit(1))).alias("stop"), F.struct(*columns).alias("read"))
+        reads = self.near(regions)
+        columns = [c for c in reads.columns if c not in ("tid", "ref")]
+        spans = reads.select("tid", F.col("pos").alias("start"), (F.col("pos") + F.greatest(cigar.span(F.col("cigar")), F.lit(1))).alias("stop"), F.struct(*columns).alias("read"))
         hits = R.clip(spans, places, ["read"]).select(F.col("rid").alias("__rid"), "read.*")
 
         def one(key: tuple, region: pd.DataFrame, reads: pd.DataFrame) -> pd.DataFrame:

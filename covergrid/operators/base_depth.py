@@ -11,18 +11,16 @@ from covergrid.functions.bases import base
 from covergrid.functions.filters import ReadFilter
 from covergrid.operators import mates
 from covergrid.operators import regions as R
-from covergrid.schema import COUNTS
+from covergrid.schema import COUNTS, PIECE_BITS
 
 UNMAPPED = 4
-#: Reference bases per row of the lookup table: a power of two.
-PIECE_BITS = 16
 PIECE = 1 << PIECE_BITS
 
 
-def aligned(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep, mate_aware: bool) -> DataFrame:
+def aligned(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep, mate_aware: bool, *more: str) -> DataFrame:
     """A row for every read and reference position that it spans inside a region. Reads are clipped to
     regions, then their operations, before these are expanded to positions."""
-    carried = ["qname", "flag", "ord"] if mate_aware else []
+    carried = [*(["qname", "flag", "ord"] if mate_aware else []), *more]
     made = reads.filter(F.col("flag").bitwiseAND(F.lit(UNMAPPED)) == 0).withColumn("pass", keep())
     # As bytes, so that one of them is found without counting letters from the start.
     made = made.withColumn("seq", F.coalesce(F.col("seq"), F.lit("")).cast("binary"))
@@ -81,15 +79,22 @@ def reference_pieces(fasta: DataFrame) -> DataFrame:
 def base_depth(
     reads: DataFrame, contigs: DataFrame, regions: DataFrame | None = None, *, mate_fix: bool = False, strategy: mates.Strategy | str = mates.Strategy.ORIGINAL,
     min_base_quality: int | None = None, keep_zeros: bool = False, zero_base: bool = False, max_depth: int = 100_000, fasta: DataFrame | None = None,
-    keep=ReadFilter(), merge_regions: bool = True,
+    keep=ReadFilter(), merge_regions: bool = True, cap_depth: bool = False,
 ) -> DataFrame:
     """A row for every position that any read spans (with keep_zeros: every position of every region).
     REF_BASE is there with fasta only, (ref, seq) or pieces (ref, piece, bases); NEAR_MAX_DEPTH looks at all
-    reads, before filters and mates."""
+    reads, before filters and mates. With cap_depth, of more than max_depth reads at a position the first
+    by their order in the file count."""
     strategy = mates.Strategy.parse(strategy) if isinstance(strategy, str) else strategy
     places = None if regions is None else R.merged(regions) if merge_regions else regions
     plain = {"n": F.lit(1), "rec": F.lit(None).cast("string")}
-    if mate_fix:
+    if cap_depth:
+        every = aligned(overlapping(reads) if mate_fix else reads.withColumn("meets", F.lit(False)), contigs, places, keep, True, "meets")
+        first = Window.partitionBy("rid", "pos").orderBy("ord")
+        every = every.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max_depth).drop("nth")
+        met = mates.resolve(every.filter("meets"), strategy).drop("qname", "flag", "ord")
+        rows = every.filter("not meets").drop("qname", "flag", "ord").withColumns(plain).unionByName(met)
+    elif mate_fix:
         known = overlapping(reads)
         alone = aligned(known.filter("not meets"), contigs, places, keep, False).withColumns(plain)
         met = mates.resolve(aligned(known.filter("meets"), contigs, places, keep, True), strategy)

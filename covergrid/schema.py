@@ -16,3 +16,6 @@ RANGES = ["REF", "POS", "END", "DEPTH"]
 BED_RANGES = ["chrom", "chromStart", "chromEnd", "name", "score"]
 COUNTS = ["DEPTH", "A", "C", "G", "T", "N", "R", "Y", "S", "W", "K", "M", "INS", "DEL", "REF_SKIP", "FAIL", "COUNT_OF_MATE_RESOLUTIONS"]
 PILEUP = ["REF", "POS", "REF_BASE", *COUNTS, "NEAR_MAX_DEPTH"]
+
+#: Reference bases per row of the look-up table: a power of two.
+PIECE_BITS = 16

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covergrid.operators.regions import small
@@ -45,11 +47,56 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
+def _lines(rows: DataFrame) -> Column:
+    return F.concat(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit("\n"))
+
+
+def stream(rows: DataFrame, out: BinaryIO, header: bool = True, bgzip: bool = False, level: int = 2) -> None:
+    """The rows in their order to an open file; the driver holds one partition of them at a time."""
+    held = ("\t".join(rows.columns) + "\n").encode() if header else b""
+    for r in rows.select(_lines(rows).alias("line")).toLocalIterator(prefetchPartitions=True):
+        held += r.line.encode()
+        while len(held) >= BLOCK:
+            out.write(block(held[:BLOCK], level) if bgzip else held[:BLOCK])
+            held = held[BLOCK:]
+    if held:
+        out.write(block(held, level) if bgzip else held)
+    if bgzip:
+        out.write(EOF)
+    out.flush()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path that driver and executors share: in spark.checkpoint.dir, or in local mode a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="covergrid-")
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def spooled(spark: SparkSession, source: BinaryIO) -> str:
+    """Copies a stream (standard input) to where Spark can read it; the path."""
+    fs, base = _fs(folder := shared_folder(spark))
+    fs.create_dir(base, recursive=True)
+    first = source.read(1 << 20)
+    name = "input.tsv.gz" if first[:2] == b"\x1f\x8b" else "input.tsv"
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+        while first:
+            out.write(first)
+            first = source.read(1 << 20)
+    return f"{folder}/{name}"
+
+
 def write_bgzf(rows: DataFrame, path: str, header: bool = True, level: int = 2) -> None:
     """One block-gzipped file, rows in the order they have. Each partition is compressed by its own task
     into a part beside the target; blocks concatenate, so the driver only strings the parts together.
     The path must be on storage that driver and executors share."""
-    line = F.concat(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), F.lit("\n"))
+    line = _lines(rows)
     folder = f"{path}.parts-{uuid.uuid4().hex}"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

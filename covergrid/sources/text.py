@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covergrid.functions import cigar
 from covergrid.operators.regions import small
+from covergrid.schema import PIECE_BITS
 
 GZIPPED = (".gz", ".gzip", ".bgzf")
 
@@ -93,6 +95,32 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.regexp_extract(F.get("p", F.lit(0)), r"^(\S+)", 1).alias("ref"), F.regexp_replace(F.get("p", F.lit(1)), r"\s", "").alias("seq"))
 
 
+def fasta_pieces(spark: SparkSession, path: str, bits: int = PIECE_BITS) -> DataFrame:
+    """(ref, piece, bases) of a FASTA file: each contig in pieces of 2 ** bits letters. Lines are placed by
+    running sums within the reader's partitions, and those by what the partitions before hold."""
+    line = lines(spark, path).select(F.rtrim("value").alias("value"), F.monotonically_increasing_id().alias("id")).filter("value <> ''")
+    named = F.col("value").startswith(">")
+    line = line.select(F.shiftright("id", 33).alias("part"), "id", F.when(named, F.regexp_extract("value", r"^>(\S*)", 1)).alias("name"), F.when(~named, F.col("value")).alias("bases"))
+    line = line.withColumn("n", F.coalesce(F.length("bases"), F.lit(0)).cast("bigint"))
+    upto = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("upto", F.sum("n").over(upto)).withColumn("begin", F.last(F.when(F.col("name").isNotNull(), F.struct("name", F.col("upto").alias("at"))), ignorenulls=True).over(upto))
+    part = line.groupBy("part").agg(F.max_by("begin", "id").alias("last"), F.sum("n").alias("n"))
+    # A row for each of the reader's partitions.
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumn("tail", F.col("n") - F.coalesce("last.at", F.lit(0).cast("bigint"))).withColumn("of", F.count("last").over(whole))
+    part = part.withColumns({"name": F.last("last.name", ignorenulls=True).over(whole), "length": F.sum("tail").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))})
+    one = Window.orderBy("part")
+    before = small(part.select("part", F.lag("name").over(one).alias("open"), F.lag("length").over(one).alias("had")))
+    placed = line.filter("bases is not null").join(before, "part").select(
+        F.coalesce("begin.name", "open").alias("ref"), F.col("bases").cast("binary").alias("bases"), "n",
+        (F.col("upto") - F.col("n") - F.coalesce("begin.at", F.lit(0)) + F.when(F.col("begin").isNull(), F.coalesce("had", F.lit(0))).otherwise(0)).alias("at"),
+    )
+    cut = placed.filter("ref is not null").select("ref", "bases", "at", "n", F.explode(F.sequence(F.shiftright("at", bits), F.shiftright(F.col("at") + F.col("n") - 1, bits))).alias("piece"))
+    first = F.greatest("at", F.shiftleft("piece", bits))
+    cut = cut.select("ref", "piece", first.alias("first"), F.substring("bases", (first - F.col("at") + 1).cast("int"), (F.least(F.col("at") + F.col("n"), F.shiftleft(F.col("piece") + 1, bits)) - first).cast("int")).cast("string").alias("bases"))
+    return cut.groupBy("ref", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "bases"))), lambda x: x["bases"]), "").alias("bases"))
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     joined = lines(spark, path).agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
     return joined.select(F.explode(F.split("text", ">")).alias("value"))
