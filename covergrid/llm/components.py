@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Every round is two aggregations and two joins over the edges left; no vertex's neighbours are ever
-gathered in one place, so a vertex with very many of them costs partial aggregates and a join whose
-large partitions Spark splits. Each round's edges are written to the shared folder.
+gathered in one place: a vertex with very many of them costs partial aggregates, and its edges meet its
+smallest neighbour by a broadcast of such vertices, of which there are few by their definition.
+Each round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covergrid.llm.util import staged
+from covergrid.llm.util import meet, staged
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return meet(both, least, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = meet(down, least, "u", 2 * n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -30,9 +31,10 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """(u, v) pairs of longs in; (u, root) out for every vertex but the roots: root is the smallest
     vertex that u reaches. Loops and repeated edges are allowed."""
     e, seen = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label), None
+    n = e.count()
     while True:
-        e = staged(_small_star(_large_star(e)).distinct(), label)
+        e = staged(_small_star(_large_star(e, n), n).distinct(), label)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (now.n, now.s) == seen:
             return e.select("u", F.col("v").alias("root"))
-        seen = (now.n, now.s)
+        seen, n = (now.n, now.s), now.n

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covergrid.llm.components import components
-from covergrid.llm.util import staged
+from covergrid.llm.util import meet, staged
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -119,9 +119,9 @@ def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     fps = staged(fingerprints(docs), "simhash")
     vertices = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
     roots = components(links(vertices, crowd), "links").withColumnsRenamed({"u": "fp"})
-    rooted = vertices.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    rooted = staged(vertices.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = meet(rooted, names, "root", rooted.count()).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

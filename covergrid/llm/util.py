@@ -65,3 +65,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Keys that hold more than one part in CROWDED of all rows are joined apart, by a broadcast; there are fewer than CROWDED.
+CROWDED, LEAST_CROWD = 1000, 100
+
+
+def meet(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with per_key, which has one row for each value of the column key, and in n how many of rows
+    have that value, at most total together. Rows of crowded keys stay where they are: fewer than CROWDED
+    such keys can exist, so theirs are broadcast; all others meet in an ordinary join. Keys are not null."""
+    most = max(LEAST_CROWD, total // CROWDED)
+    crowded = F.broadcast(per_key.filter(F.col("n") > most))
+    apart = rows.join(crowded.select(key), key, "left_anti").join(per_key.filter(F.col("n") <= most), key)
+    return rows.join(crowded, key).drop("n").unionByName(apart.drop("n"))
