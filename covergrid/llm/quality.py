@@ -37,7 +37,7 @@ from covergrid.llm.sampling import labelled, lowest, with_text
 from covergrid.llm.util import fold
 
 #: Most positives and most unlabelled rows in the fit, and least.
-SAMPLE, LEAST = 5000, 4
+SAMPLE, LEAST = 4000, 4
 #: Texts that a bound on the prior must rest on, as a share of the positives; failure probability of its margin.
 TAIL, DELTA = 0.05, 0.1
 BUCKETS = 512
@@ -115,8 +115,9 @@ def descend(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = ROUNDS, de
     w = np.zeros(p.shape[1] + 1) if start is None else start.astype(float)
     m, v = np.zeros(w.size), np.zeros(w.size)
     for step in range(1, rounds + 1):
-        _, _, gp, gu = risk(p @ w[:-1] + w[-1], u @ w[:-1] + w[-1], prior)
-        g = np.append(p.T @ gp + u.T @ gu + decay * w[:-1], gp.sum() + gu.sum())
+        slopes = w[:-1].astype(p.dtype)
+        _, _, gp, gu = risk((p @ slopes).astype(float) + w[-1], (u @ slopes).astype(float) + w[-1], prior)
+        g = np.append(p.T @ gp.astype(p.dtype) + u.T @ gu.astype(u.dtype) + decay * w[:-1], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
@@ -163,12 +164,12 @@ def calibrate(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, fl
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
-    mean, scale = unl.mean(0), 1 / (unl.std(0) + 1e-3)
-    p, u = (np.clip((x - mean) * scale, -6, 6) for x in (pos, unl))
+    mean, scale = unl.mean(0, dtype=float), 1 / (unl.std(0, dtype=float) + 1e-3)
+    p, u = (np.clip((x - mean) * scale, -6, 6).astype(np.float32) for x in (pos, unl))
     (p1, p2), (u1, u2) = ((x[::2], x[1::2]) for x in (p, u))
     # First classifier: positives against unlabelled, which is the risk of prior 1/2 with unl as negatives.
     first = descend(p1, u1, 0.5, ROUNDS // 3)
-    prior = estimate_prior(p2 @ first[:-1] + first[-1], u2 @ first[:-1] + first[-1])
+    prior = estimate_prior(*((x @ first[:-1]).astype(float) + first[-1] for x in (p2, u2)))
     half = descend(p1, u1, prior)
     slope, shift = calibrate(*(x @ half[:-1] + half[-1] for x in (p2, u2)), prior)
     whole = descend(p, u, prior, ROUNDS // 3, start=half)
@@ -196,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     pos, unl = (np.array([getattr(r, k) for r in rows], bool) for k in ("pos", "unl"))
     if min(pos.sum(), unl.sum()) < LEAST:
         return 0.5
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float)
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), -1)
+    del rows
     return fit(x[pos], x[unl])
 
 
