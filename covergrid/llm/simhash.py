@@ -7,7 +7,7 @@
    segment with at most one differing bit, so each segment is stored once and probed with itself and
    with the values one raised bit away (the pair's other member has that bit lowered).
 4. Matches are verified over all 64 bits and linked; components by hooking to the smallest neighbour
-   and shortcutting, each round written to the shared folder.
+   and shortcutting, in one task or in rounds written to the shared folder (see components).
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 a document of one or two words has one shingle, all its words; rows that repeat an id or a text
@@ -107,7 +107,7 @@ def links(vertices: DataFrame, crowd: int = CROWD) -> DataFrame:
         stored = stored.join(crowded, ["seg", "val"], "left_anti")
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     found = (
-        probes.join(stored.withColumnRenamed("fp", "v"), ["seg", "val"])
+        probes.hint("merge").join(stored.withColumnRenamed("fp", "v"), ["seg", "val"])  # estimates take probes, 33 rows from one, for small enough to broadcast
         .filter((~F.col("same") | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")) & (apart <= MAX_BITS))
         .select("u", "v")
     )

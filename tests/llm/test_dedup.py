@@ -223,3 +223,25 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_components_in_rounds_and_in_one_task(spark, at_once):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(250)] + [(1000 + i * 37 % 50, 1000 + (i + 1) * 37 % 50) for i in range(49)]
+    names = sorted({x for e in edges for x in e})
+    least = {x: x for x in names}
+    for _ in names:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    d = spark.createDataFrame([*edges, edges[0]], "u long, v long")
+    got = {r.u: r.root for r in components(d, at_once=at_once).collect()}
+    assert got == {x: r for x, r in least.items() if x != r}
+    assert components(d.limit(0), at_once=at_once).count() == 0
+
+
+def test_simhash_never_broadcasts_its_probes(spark):
+    """The driver would build them whole: 33 rows for each fingerprint's segment."""
+    vertices = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(vertices)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
