@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from covergrid.llm import near_copies
 from tests.llm.test_dedup import plain_components
@@ -96,3 +97,32 @@ def test_stage_drops_copies_that_simhash_passes(spark):
 def test_ids_that_are_null_or_repeated(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "x y z"), (3, "A b c"), (4, "p q r"), (4, "s t u")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in near_copies.keep_representatives(docs).collect() if r.doc_id is not None) == [(3, "A b c"), (4, "p q r"), (4, "s t u")]
+
+
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_members_of_a_centre_far_from_most(spark, crowd):
+    """No link is lost where the centre of many copies is not their original, and hardly a pair is compared in vain there."""
+    import numpy as np
+
+    from covergrid.llm.components import roots
+
+    rnd = random.Random(13)
+    original = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    texts = [variant(rnd, original, n) for n in (1, 2, 3, 4, 5, 6, 8, 10) for _ in range(20)]
+    texts += [variant(rnd, t.split(), 1) for t in texts[100:]]
+    sets = {near_copies.vertex_of(s): s for s in (near_copies.shingles(t.encode()) for t in [variant(rnd, original, 3), *texts])}
+    hub, *others = sets
+    rows = []
+    for v in others:
+        near, apart, size, base, diff, tokens = near_copies.told_apart(sets[v].tobytes(), sets[hub].tobytes())
+        rows.append((v, hub, near, apart, size, base, diff, tokens.view(np.int64).tolist()))
+    turned, sure = near_copies._turned(spark.createDataFrame(rows, near_copies._STARS), crowd)
+    found = {(r.u, r.v) for r in near_copies._siblings(near_copies._prefixes(turned), F.col("skip")).collect()}
+    certain = {(r.u, r.v) for r in sure.collect()} | {(r[0], hub) for r in rows if r[2]}
+    similar = lambda a, b: len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))
+    assert all(similar(*p) for p in certain)
+    group = lambda pairs: [x.tolist() for x in roots(*(np.array(c, np.int64) for c in zip(*sorted(pairs), strict=True)))]
+    wanted = {(a, b) for a in sets for b in sets if a < b and similar(a, b)}
+    assert group(wanted) == group(certain | {p for p in found if similar(*p)})
+    if crowd == 1:
+        assert 0 < len(certain) and len(found) < 4 * len(others)
