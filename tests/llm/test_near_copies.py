@@ -99,6 +99,43 @@ def test_ids_that_are_null_or_repeated(spark):
     assert sorted((r.doc_id, r.text) for r in near_copies.keep_representatives(docs).collect() if r.doc_id is not None) == [(3, "A b c"), (4, "p q r"), (4, "s t u")]
 
 
+def test_index_of_fingerprints(spark):
+    """Keys are those of multi-index hashing: the set's SimHash fingerprint, found by whatever lies within three bits of it."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    for n in (1, 2, 40, 5000):
+        hashes = np.array(sorted({rnd.getrandbits(64) for _ in range(n)}), np.uint64)
+        fp = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes.tolist()) * 2 > n)
+        assert set(near_copies.index_keys(hashes)) == keys_of(fp)
+        for _ in range(50):
+            other = fp
+            for _ in range(rnd.randint(1, 3)):
+                other ^= 1 << rnd.randrange(64)
+            assert keys_of(fp) & keys_of(other)
+    assert near_copies.index_keys(np.empty(0, np.uint64)) == []
+
+
+def keys_of(fp):
+    halves = [fp & 0xFFFFFFFF, fp >> 32]
+    return {i << 32 | x | b for i, x in enumerate(halves) for b in [0, *(1 << k for k in range(32))] if not x & b}
+
+
+def two_texts(seed):
+    rnd = random.Random(seed)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(66)]
+    return " ".join(words[:60]), " ".join(words[:54] + words[60:])
+
+
+def test_near_copies_that_share_no_band(spark):
+    """Two texts at similarity 50/62 that the index alone finds."""
+    a, b = two_texts(206214)
+    x, y = (near_copies.shingles(t.encode()) for t in (a, b))
+    assert not set(near_copies.band_keys(x)) & set(near_copies.band_keys(y)) and plain_kept([a, b]) == {0}
+    docs = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.keep_representatives(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize("crowd", [1, 1000])
 def test_members_of_a_centre_far_from_most(spark, crowd):
     """No link is lost where the centre of many copies is not their original, and hardly a pair is compared in vain there."""
