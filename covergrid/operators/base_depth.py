@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from covergrid.functions import cigar
 from covergrid.functions.bases import base
 from covergrid.functions.filters import ReadFilter
-from covergrid.operators import mates
+from covergrid.operators import mates, pileup
 from covergrid.operators import regions as R
 from covergrid.schema import COUNTS, PIECE_BITS
 
@@ -54,6 +54,27 @@ def overlapping(reads: DataFrame) -> DataFrame:
     return reads.withColumn("meets", meets)
 
 
+def clipped(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep) -> DataFrame:
+    """Reads with [a, z) for every disjoint place that they reach."""
+    made = reads.filter(F.col("flag").bitwiseAND(F.lit(UNMAPPED)) == 0).select(
+        "tid", F.col("pos").alias("start"), cigar.span(F.col("cigar")).alias("span"), "pos", "cigar", keep().alias("pass"), "mapq", F.coalesce(F.col("seq"), F.lit("")).cast("binary").alias("seq"), "qual",
+        (F.col("flag").bitwiseAND(F.lit(mates.FIRST_IN_PAIR)) != 0).alias("first"), "ord", "qname",
+    ).withColumn("stop", F.col("pos") + F.col("span"))
+    kept = ["span", "pos", "cigar", "pass", "mapq", "seq", "qual", "first", "ord", "qname"]
+    return R.clip_to_contigs(made, contigs, kept) if places is None else R.clip(made, places, kept)
+
+
+def _capped(reads: DataFrame, contigs: DataFrame, places: DataFrame | None, keep, strategy: mates.Strategy | None, max_depth: int, min_base_quality: int | None) -> DataFrame:
+    """Counts of the first max_depth reads at each position."""
+    every = aligned(overlapping(reads) if strategy else reads.withColumn("meets", F.lit(False)), contigs, places, keep, True, "meets")
+    first = Window.partitionBy("tid", "pos").orderBy("ord")
+    every = every.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max_depth).drop("nth")
+    rows = every.filter("not meets").drop("qname", "flag", "ord").withColumns({"n": F.lit(1), "rec": F.lit(None).cast("string")})
+    if strategy:
+        rows = rows.unionByName(mates.resolve(every.filter("meets"), strategy).drop("qname", "flag", "ord"))
+    return rows.groupBy("tid", "pos").agg(*_counts(min_base_quality))
+
+
 def _counts(min_base_quality: int | None) -> list[Column]:
     ok, op, rec = F.col("pass"), F.col("op"), F.col("rec")
     masked = F.lit(False) if min_base_quality is None else F.coalesce(F.col("bq") < min_base_quality, F.lit(True))
@@ -86,25 +107,22 @@ def base_depth(
     reads, before filters and mates. With cap_depth, of more than max_depth reads at a position the first
     by their order in the file count."""
     strategy = mates.Strategy.parse(strategy) if isinstance(strategy, str) else strategy
-    places = None if regions is None else R.merged(regions) if merge_regions else regions
-    plain = {"n": F.lit(1), "rec": F.lit(None).cast("string")}
+    places = None if regions is None else R.merged(regions)
     if cap_depth:
-        every = aligned(overlapping(reads) if mate_fix else reads.withColumn("meets", F.lit(False)), contigs, places, keep, True, "meets")
-        first = Window.partitionBy("rid", "pos").orderBy("ord")
-        every = every.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max_depth).drop("nth")
-        met = mates.resolve(every.filter("meets"), strategy).drop("qname", "flag", "ord")
-        rows = every.filter("not meets").drop("qname", "flag", "ord").withColumns(plain).unionByName(met)
-    elif mate_fix:
-        known = overlapping(reads)
-        alone = aligned(known.filter("not meets"), contigs, places, keep, False).withColumns(plain)
-        met = mates.resolve(aligned(known.filter("meets"), contigs, places, keep, True), strategy)
-        rows = alone.unionByName(met.drop("qname", "flag", "ord"))
+        counts = _capped(reads, contigs, places, keep, strategy if mate_fix else None, max_depth, min_base_quality)
     else:
-        rows = aligned(reads, contigs, places, keep, False).withColumns(plain)
-    counts = rows.groupBy("rid", "tid", "ref", "pos").agg(*_counts(min_base_quality))
-    if keep_zeros:
-        every = (R.whole(contigs) if places is None else places).select("rid", "tid", "ref", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"))
-        counts = every.join(counts, ["rid", "tid", "ref", "pos"], "left").fillna(0, [*COUNTS, "raw"])
+        counts = pileup.counts(clipped(reads, contigs, places, keep), strategy if mate_fix else None, min_base_quality)
+    if regions is not None and not merge_regions:
+        places = regions
+    if keep_zeros or places is regions is not None:
+        # What regions share is counted once: a position's counts come as often as regions hold it.
+        held = (R.whole(contigs) if places is None else places).select("tid", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"))
+        if places is regions is not None:
+            held = held.groupBy("tid", "pos").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        counts = held.join(counts, ["tid", "pos"], "left" if keep_zeros else "inner").fillna(0, [*COUNTS, "raw"])
+        if places is regions is not None:
+            counts = counts.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "time")
+    counts = counts.join(R.small(contigs.select("tid", "ref")), "tid")
     near = F.col("raw") > max_depth - int(max_depth * 0.01)
     shift = 0 if zero_base else 1
     extra = []

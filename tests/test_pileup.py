@@ -1,0 +1,82 @@
+"""Counts in vectors against counts of rows, and what the two shuffle."""
+
+import random
+
+import pytest
+
+from covergrid.functions.filters import ReadFilter
+from covergrid.operators import regions as R
+from covergrid.operators.base_depth import base_depth
+from covergrid.operators.mates import Strategy
+from covergrid.schema import CONTIGS, READS
+from tests.model import ops
+
+LENGTHS = {"x": 9_000, "y": 7_000}
+KEEP = ReadFilter(exclude=512, min_mapq=3)
+CIGARS = ["30M", "2M2I21M", "10M5D12M3I4M", "5S10M3000N9M", "2100M", "700M1I1400M2D9M2I10M", "7M2100D6M", "4M3P8M", "10=5X3I2M", "6M0I5M", "3M"]
+
+
+def some_reads(seed):
+    r, rows = random.Random(seed), []
+    for i in range(100):
+        steps = ops(r.choice(CIGARS))
+        n = sum(k for k, op in steps if op in "MIS=X")
+        seq = r.choice([None, "", "".join(r.choices("ACGTNacgtuR", k=n)), "".join(r.choices("ACGTN", k=n)), "".join(r.choices("AC", k=n)), "ACG"])
+        qual = [r.choice([0, 10, 20, 30, 255]) for _ in range(r.choice([len(seq or ""), 2]))]
+        tid = r.randrange(2)
+        at = r.choice([2040, 4090, 100, r.randrange(6_900)]) + r.randrange(20)
+        rows.append((r.choice(["p", "q", "r", "s", None]), r.choice([67, 147, 0, 4, 512, 323]), tid, "xy"[tid], at, r.choice([0, 3, 9, 40]), steps, tid, at, 40, seq, qual, r.choice([i, -i])))
+    return rows
+
+
+def frames(spark, rows):
+    return spark.createDataFrame(rows, READS), spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(LENGTHS.items())], CONTIGS)
+
+
+def sets(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture
+def narrow(spark):
+    """Batches of few rows, so that names and bins go on beyond them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed, strategy, quality", [*((i, s, None if i % 2 else 20) for i, s in enumerate([None, *Strategy])), (20, None, None), (21, Strategy.IUPAC, 20), (22, Strategy.BASE_QUAL_MAP_QUAL_N, None)])
+def test_counts_are_those_of_rows(spark, narrow, seed, strategy, quality):
+    made = frames(spark, some_reads(seed))
+    options = {"keep": KEEP, "mate_fix": strategy is not None, "strategy": strategy or Strategy.ORIGINAL, "min_base_quality": quality, "max_depth": 10_000}
+    got = base_depth(*made, **options)
+    assert sets(got) == sets(base_depth(*made, cap_depth=True, **options))
+    assert got.count() > 4_000
+
+
+def written(spark, df):
+    """Rows that shuffles of a query write."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    listed = lambda: (s := store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)) and {s.apply(i).stageId(): s.apply(i).shuffleWriteRecords() for i in range(s.size())}
+    before = listed()
+    n = len(df.collect())
+    return n, sum(v for k, v in listed().items() if k not in before)
+
+
+@pytest.mark.parametrize("strategy", ["original", "iupac", "base_qual_map_qual_first_in_pair"])
+def test_mates_shuffle_reads_not_bases(spark, strategy):
+    rows = [(f"o{i // 2}", 67 if i % 2 else 147, 0, "x", i // 2, 40, [(1000, "M")], 0, i // 2, 1000, "A" * 1000, [30] * 1000, i) for i in range(200)]
+    n, records = written(spark, base_depth(*frames(spark, rows), mate_fix=True, strategy=strategy))
+    assert n == 1099 and records < 4 * len(rows)
+
+
+@pytest.mark.parametrize("zeros", [False, True])
+def test_regions_that_share_positions_are_counted_once(spark, zeros):
+    reads, contigs = frames(spark, [(f"o{i}", 0, 0, "x", i % 50, 40, [(100, "M")], 0, 0, 0, "A" * 100, [], i) for i in range(300)])
+    places = R.resolve(spark.createDataFrame([("x", 10, 200)] * 60 + [("x", 20, 30), ("y", 1, 3)], "ref string, start bigint, stop bigint"), contigs)
+    n, records = written(spark, base_depth(reads, contigs, places, merge_regions=False, keep_zeros=zeros, zero_base=True))
+    assert n == (60 * 190 + 10 + 2 if zeros else 60 * 139 + 10) and records < 3_000
+    got = base_depth(reads, contigs, places, merge_regions=False, keep_zeros=zeros, zero_base=True).collect()
+    depth = {p: sum(i % 50 <= p < i % 50 + 100 for i in range(300)) for p in range(200)}
+    assert all(r.DEPTH == r.A == (depth[r.POS] if r.REF == "x" else 0) for r in got)
+    assert sum(r.POS == 25 for r in got) == 61
