@@ -51,7 +51,11 @@ def steps(cigar: Column) -> Column:
     return F.when((F.size(cigar) == 1) & only["op"].isin(ON_REFERENCE) & (only["len"] > 0), whole).otherwise(general)
 
 
-def with_blocks(reads: DataFrame, *keep: str) -> DataFrame:
-    """A row (start, stop) for every aligned block: matches and deletions count, skips only advance."""
-    made = reads.select(*keep, "pos", F.inline(steps(F.col("cigar")))).filter("op <> 'N'")
-    return made.select(*keep, (F.col("pos") + F.col("r")).alias("start"), (F.col("pos") + F.col("r") + F.col("len")).alias("stop"))
+def with_blocks(reads: DataFrame, *keep: str, whole: Column | None = None) -> DataFrame:
+    """A row (start, stop) for every aligned block: matches and deletions count, skips only advance.
+    Reads for which ``whole`` holds are one block from start to end."""
+    each = F.transform(F.filter(steps(F.col("cigar")), lambda x: x["op"] != "N"), lambda x: F.struct((F.col("pos") + x["r"]).alias("start"), (F.col("pos") + x["r"] + x["len"]).alias("stop")))
+    if whole is None:
+        return reads.select(*keep, F.inline(each))
+    one = F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + span(F.col("cigar"))).alias("stop")))
+    return reads.select(*keep, F.inline(F.when(whole, one).otherwise(each))).filter("start < stop")

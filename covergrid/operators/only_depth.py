@@ -31,7 +31,9 @@ def spans(reads: DataFrame, fast: bool = False, mate_fix: bool = False, keep=Rea
     def of(part: DataFrame) -> DataFrame:
         if fast:
             return part.select("tid", "qname", F.col("pos").alias("start"), (F.col("pos") + cigar.span(F.col("cigar"))).alias("stop")).filter("start < stop")
-        return cigar.with_blocks(part, "tid", "qname")
+        # A read without skips is one block: its operations' blocks touch.
+        skips = F.exists("cigar", lambda x: x["op"] == "N")
+        return cigar.with_blocks(part, "tid", "qname", whole=~skips)
 
     if not mate_fix:
         return of(passed).select("tid", "start", "stop")
@@ -49,7 +51,9 @@ def sweep(clipped: DataFrame, regions: DataFrame) -> DataFrame:
     at = clipped.select(*place, F.inline(F.array(F.struct(F.col("a").alias("p"), F.lit(1).alias("d"), F.lit(False).alias("opens")), F.struct(F.col("z").alias("p"), F.lit(-1).alias("d"), F.lit(False).alias("opens")))))
     opening = regions.select(*place, F.col("start").alias("p"), F.lit(0).alias("d"), F.lit(True).alias("opens"))
     events = at.filter("p < stop").union(opening).groupBy(*place, "p").agg(F.sum("d").alias("d"), F.max("opens").alias("opens"))
-    events = events.filter("d <> 0 or opens").withColumn("bin", F.shiftright("p", SWEEP_BITS))
+    # Keys that can't be null, so that the join below adds no filter to one side and events are made once.
+    never = F.lit(0).cast("bigint")
+    events = events.filter("d <> 0 or opens").withColumns({"rid": F.coalesce("rid", never), "bin": F.coalesce(F.shiftright("p", SWEEP_BITS), never)})
     by_bin = events.groupBy("rid", "bin").agg(F.sum("d").alias("total"), F.min("p").alias("first"))
     w = Window.partitionBy("rid").orderBy("bin")  # a row for each bin: few
     carried = by_bin.select(
@@ -69,15 +73,16 @@ def only_depth(
     """REF, POS, END, DEPTH (or the BED columns). Runs of depth zero are part of merged output unless
     drop_zero_runs is set; with no_merge each position is a row, those of depth zero only with keep_zeros."""
     counted = spans(reads, fast, mate_fix, keep)
-    if regions is None and chunksize is None:
-        places = R.whole(contigs)
-        clipped = R.clip_to_contigs(counted, contigs, [])
-    else:
-        places = R.whole(contigs) if regions is None else R.merged(regions) if merge_regions else regions
-        if chunksize:
-            places = R.chunked(places, chunksize)
-        clipped = R.clip(counted, places, [])
+    places = R.whole(contigs) if regions is None else R.merged(regions)
+    clipped = R.clip_to_contigs(counted, contigs, []) if regions is None else R.clip(counted, places, [])
+    # Every position is swept once; regions that share it are given its runs.
     runs = sweep(clipped, places)
+    if regions is not None and not merge_regions:
+        runs = R.clip(runs.select("tid", F.col("a").alias("start"), F.col("z").alias("stop"), "depth"), regions, ["depth"])
+    if chunksize:
+        first = F.col("a") - F.col("a") % chunksize
+        runs = runs.withColumn("at", F.explode(F.sequence(first, F.col("z") - 1, F.lit(chunksize).cast("bigint"))))
+        runs = runs.withColumns({"a": F.greatest("a", "at"), "z": F.least("z", F.col("at") + chunksize)})
     if no_merge:
         runs = runs if keep_zeros else runs.filter("depth <> 0")
         runs = runs.select("tid", "ref", "depth", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("a")).withColumn("z", F.col("a") + 1)
