@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from covergrid.functions import cigar
 from covergrid.operators import base_depth as _base
@@ -72,18 +76,43 @@ class Engine:
 
     def run(self, processor: Processor, schema: str, regions: DataFrame | None = None, *, chunksize: int = 1_000_000, merge: bool = True) -> DataFrame:
         """Any per-region computation: each region, in pieces of chunksize, is given to the processor once
-        with the reads that overlap it (none: an empty frame). A piece is what one task holds in memory."""
+        with the reads that overlap it (none: an empty frame), by pos and ord. A piece is what one task holds in
+        memory: texts and lists of its reads stay Arrow columns, as Python objects would take several times as much."""
         places = R.whole(self.contigs) if regions is None else R.merged(regions) if merge else regions
         places = R.chunked(places, chunksize)
         reads = self.near(regions)
         columns = [c for c in reads.columns if c not in ("tid", "ref")]
         spans = reads.select("tid", F.col("pos").alias("start"), (F.col("pos") + F.greatest(cigar.span(F.col("cigar")), F.lit(1))).alias("stop"), F.struct(*columns).alias("read"))
-        hits = R.clip(spans, places, ["read"]).select(F.col("rid").alias("__rid"), "read.*")
-
-        def one(key: tuple, region: pd.DataFrame, reads: pd.DataFrame) -> pd.DataFrame:
-            if region.empty:
-                return processor({}, reads).iloc[:0]
-            r = region.iloc[0]
-            return processor({"tid": int(r.tid), "ref": r.ref, "start": int(r.start), "stop": int(r.stop)}, reads.drop(columns="__rid").sort_values(["pos", "ord"]))
-
-        return places.groupBy("rid").cogroup(hits.groupBy("__rid")).applyInPandas(one, schema)
+        hits = R.clip(spans, places, ["read"]).select("rid", "read")
+        # One stream: a region's row, then its reads. Spark sorts, so that no task sorts or copies a piece.
+        rows = places.select("rid", F.struct("tid", "ref", "start", "stop").alias("region")).unionByName(hits, allowMissingColumns=True)
+        dealt = rows.repartition("rid").sortWithinPartitions("rid", F.col("region").isNull(), "read.pos", "read.ord")
+        return dealt.mapInArrow(_processed(processor, to_arrow_schema(StructType.fromDDL(schema))), schema)
+
+
+def _processed(processor: Processor, schema: pa.Schema):
+    def kept(t: pa.DataType):
+        return pd.ArrowDtype(t) if pa.types.is_nested(t) or pa.types.is_string(t) or pa.types.is_large_string(t) else None
+
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        region = parts[0]["region"][0].as_py()
+        reads = pa.Table.from_batches([pa.RecordBatch.from_struct_array(b["read"]) for b in parts]).slice(1)
+        parts.clear()
+        out = processor(region, reads.to_pandas(types_mapper=kept, split_blocks=True, self_destruct=True))
+        if not set(schema.names) <= set(out.columns):
+            out = out.set_axis(schema.names, axis=1)
+        return pa.RecordBatch.from_pandas(out[schema.names], schema=schema, preserve_index=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            begins = np.flatnonzero(b["region"].is_valid().to_numpy(zero_copy_only=False)).tolist() if b.num_rows else []
+            for a, z in zip([0, *begins], [*begins, b.num_rows]):
+                if a in begins and held:
+                    yield one(held)
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield one(held)
+
+    return run

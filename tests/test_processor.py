@@ -1,0 +1,23 @@
+"""What a region processor is given."""
+
+import pandas as pd
+
+from covergrid.api import Engine
+from tests.test_pileup import frames
+
+
+def test_texts_and_lists_stay_arrow_columns(spark):
+    """Python objects took several KB a read; every batch edge falls inside a piece."""
+    rows = [(f"o{i}", 0, 0, "x", 500 - i, 40, [(20, "M"), (2, "I")], 0, 0, 0, "A" * 22, [30] * 22, i) for i in range(500)]
+    rows[7] = (*rows[7][:10], None, None, 7)
+
+    def seen(region, reads):
+        assert reads["pos"].is_monotonic_increasing and all(str(reads[c].dtype).endswith("[pyarrow]") for c in ("qname", "seq", "qual", "cigar"))
+        return pd.DataFrame({"start": [region["start"]], "n": [len(reads)], "bases": [int(reads["seq"].str.len().sum())], "quals": [int(sum(map(len, reads["qual"].dropna())))]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, Engine(spark, *frames(spark, rows)).run(seen, "start long, n long, bases long, quals long", chunksize=3_000).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([(0, 500, 499 * 22, 499 * 22)] + [(0, 0, 0, 0)] + [(a, 0, 0, 0) for a in (3_000, 6_000) for _ in "xy"])
